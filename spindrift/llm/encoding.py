@@ -99,6 +99,8 @@ def _belief(span: str, decoded: str, before: str, after: str) -> int:
     if set(span) <= RUSSIAN:
         if before.isascii() and before.isalpha() and scripts == ["latin"]:
             return SURE  # within a Latin word
+        if scripts in (["latin"], ["sign"]) and not decoded.isalpha():
+            return WEAK
         return WEAK if len(decoded) == 1 and not (before + after).strip() else NO
     if span[0] in RUSSIAN and own and len(decoded) < 3:
         return NO
@@ -160,7 +162,8 @@ def _cyrillic_words(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in LATIN_HIGH.finditer(text):
         around = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
-        if not re.search("[A-Za-z]", around) and m.group() not in ("à", "é", "è", "À"):
+        near = text[max(0, m.start() - 12) : m.start()] + text[m.end() : m.end() + 12]
+        if not re.search("[A-Za-z]", around) and (len(m.group()) > 1 or LATIN_HIGH.search(near)):
             try:
                 out.append((m.start(), m.end(), m.group().encode("latin-1").decode(best[1])))
             except UnicodeError:
@@ -203,11 +206,20 @@ def _mixed_letters(text: str) -> list[tuple[int, int, str]]:
 
 
 SUSPECT = re.compile(r"[^\x00-\x7f]")
+#: two characters beyond ASCII side by side, of which one is no Russian letter, no matter where
+PAIR = re.compile("(?=[^\x00-\x7f]{2})(?:[^А-яЁё]|[А-яЁё][^\x00-\x7fА-яЁё]|(?<=[a-zA-Z])[А-яЁё]{2})")
+
+
+def clean_at_sight(text: str) -> bool:
+    """Whether nothing in a text can be garbled: no character beyond ASCII, or none beside another but Russian letters."""
+    if not SUSPECT.search(text):
+        return True
+    return not PAIR.search(text) and LOST not in text and not SWAPPED.search(text) and not MIXED.search(text)
 
 
 def repair(text: str | None) -> tuple[str | None, bool, bool]:
     """(text with the garbled spans decoded, whether any span was garbled, whether something stays lost)."""
-    if not text or not SUSPECT.search(text):
+    if not text or clean_at_sight(text):
         return text, False, False
     garbled = False
     for _ in range(ROUNDS):

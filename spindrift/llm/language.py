@@ -2,8 +2,7 @@
 
 Error-correcting output codes: each language has a codeword, a binary n-gram classifier predicts each bit, and loss-weighted
 decoding takes the language whose codeword costs least. The gap to the second gives a confidence; a small one flags ambiguity.
-Classifiers are fitted on a bounded sample of labelled documents; labels that the first fit contradicts are left out of a
-second. Pages are read by their main body, passages and their segments each for themselves.
+Classifiers are fitted on a bounded sample of labelled pages, of lines whose label a fit on common words agrees with. Pages are read by their main body, passages and their segments each for themselves.
 """
 
 from __future__ import annotations
@@ -25,13 +24,14 @@ from spindrift.llm.templates import body, with_templates
 from spindrift.sources.tables import latest_documents
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru")
-#: labelled documents of each language that the classifiers are fitted on at most, those of the smallest hashes
-SAMPLE = 250
-#: characters of a sampled document that are fitted on
-SAMPLE_CHARS = 3000
+#: labelled pages of each language that the classifiers are fitted on at most, those of the smallest hashes; of each page
+#: the passages and of each passage the characters that are fitted on at most. Only the fit is bounded so.
+SAMPLE, SAMPLE_PASSAGES, SAMPLE_CHARS = 120, 24, 500
 DIMENSIONS = 1 << 15
 #: words of a passage that can be a case
 MIN_WORDS = 5
+#: confidence from which the fit on common words counts as agreeing with a label
+AGREED = 0.8
 #: a decision under this confidence is ambiguous
 AMBIGUOUS = 0.95
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -84,9 +84,13 @@ class CodeClassifiers:
     #: a word's margin in any bit is at most this, so that no one word outweighs the rest
     MOST = 2.0
 
+    #: words whose margins a worker keeps; emptied when full
+    KEPT = 1 << 17
+
     def __init__(self, weights: np.ndarray, known: frozenset[str]):
         self.weights, self.known = weights, known
-        self.cache: dict[tuple[str, bool], np.ndarray] = {}
+        self.rows: dict[tuple[str, bool], int] = {}
+        self.margins = np.zeros((0, CODE.shape[1]), np.float32)
 
     @classmethod
     def fit(cls, samples: list[tuple[str, str]]) -> CodeClassifiers:
@@ -100,7 +104,9 @@ class CodeClassifiers:
             for w, name in tokens(text):
                 (names if name else words)[k][w] += 1
         for k in range(len(LANGUAGES)):
-            for w, n in (words[k] + Counter({w: n for w, n in names[k].items() if n >= 4 or w in words[k]})).items():
+            # of capitalised words only those seen small too, and the nouns of German: others may be names of sites
+            noun = {w: n for w, n in names[k].items() if w in words[k] or (n >= 4 and LANGUAGES[k] == "de")}
+            for w, n in (words[k] + Counter(noun)).items():
                 # a word said over and over in one sample weighs little more
                 np.add.at(counts[k], list(ngrams(w)), np.log1p(n))
                 words[k][w] = max(words[k][w], n)
@@ -113,41 +119,57 @@ class CodeClassifiers:
 
     def word(self, w: str, name: bool) -> np.ndarray:
         """Margins of one word. The word itself tells most, if it was seen; a capitalised one that was not may be a name."""
-        got = self.cache.get((w, name))
-        if got is None:
-            grams = self.weights[list(ngrams(w))]
-            whole = self.weights[zlib.crc32(f"<{w}>".encode("utf-8", "replace")) % DIMENSIONS]
-            got = np.clip(0.75 * whole + 0.5 * grams.mean(0) if w in self.known else grams.mean(0) * (0.1 if name else 0.6), -self.MOST, self.MOST)
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[w, name] = got
-        return got
+        grams = self.weights[list(ngrams(w))]
+        whole = self.weights[zlib.crc32(f"<{w}>".encode("utf-8", "replace")) % DIMENSIONS]
+        return np.clip(0.75 * whole + 0.5 * grams.mean(0) if w in self.known else grams.mean(0) * (0.05 if name else 0.25), -self.MOST, self.MOST)
+
+    def row(self, token: tuple[str, bool]) -> int:
+        """Place of a word's margins in the table."""
+        k = self.rows.get(token)
+        if k is None:
+            k = self.rows[token] = len(self.rows)
+            if k >= len(self.margins):
+                self.margins = np.concatenate([self.margins, np.zeros((max(256, len(self.margins)), CODE.shape[1]), np.float32)])
+            self.margins[k] = self.word(*token)
+        return k
 
     def decode(self, text: str) -> tuple[str | None, float]:
         """(language, confidence); (None, 0) if the text has no word that tells anything."""
         tok = tokens(text)
         if not tok:
             return None, 0.0
-        margin = np.sum([self.word(w, n) for w, n in tok], axis=0)
-        if not np.abs(margin).max() > 1e-6:
+        margin = np.zeros(CODE.shape[1])
+        for k in range(0, len(tok), self.KEPT // 2):
+            part = tok[k : k + self.KEPT // 2]
+            if len(self.rows) + len(part) > self.KEPT:
+                self.rows.clear()
+            rows = [self.row(t) for t in part]
+            margin += self.margins[rows].sum(0)
+        size = np.abs(margin)
+        if size.max() <= 1e-6:
             return None, 0.0
-        loss = np.log1p(np.exp(-np.clip(CODE * margin, -30, 30))) @ np.minimum(1.0, np.abs(margin)) / 2
+        loss = np.log1p(np.exp(-np.clip(CODE * margin, -30, 30))) @ np.minimum(1.0, size) / 2
         p = np.exp(loss.min() - loss)
         best = int(loss.argmin())
         return LANGUAGES[best], float(p[best] / p.sum())
 
 
-def fit_classifiers(documents: DataFrame) -> CodeClassifiers:
-    """Classifiers fitted on the labelled sample: for each language the SAMPLE documents of the smallest hashes."""
-    label = F.lower(F.substring(F.trim(F.col("lang")), 1, 2)).alias("l")
-    rows = documents.filter(F.length("text") > 100).select(label, "text", F.xxhash64("doc_id").alias("h"))
-    parts = [rows.filter(F.col("l") == x).orderBy("h", "text").limit(SAMPLE).select("l", F.substring("text", 1, SAMPLE_CHARS).alias("text")) for x in LANGUAGES]
-    every = parts[0]
+def fit_classifiers(passages: DataFrame, index: DataFrame) -> CodeClassifiers:
+    """Classifiers fitted on the labelled sample: for each language the SAMPLE pages of the smallest hashes whose label names
+    it, and of each the first passages. Labels are often wrong and passages foreign, so a first fit, on common words alone, has
+    to agree with the label of each line."""
+    label = F.regexp_extract(F.lower(F.trim("html_lang")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    pages = latest_documents(index).select(F.col("doc_id").cast("string").alias("doc_id"), label.alias("l"), F.xxhash64("doc_id").alias("h"))
+    parts = [pages.filter(F.col("l") == x).orderBy("h", "doc_id").limit(SAMPLE) for x in LANGUAGES]
+    chosen = parts[0]
     for p in parts[1:]:
-        every = every.unionByName(p)
-    sample = [(r["text"], r["l"]) for r in every.collect()]
-    first = CodeClassifiers.fit(sample)
-    return CodeClassifiers.fit([(t, x) for t, x in sample if first.decode(t)[0] == x])
+        chosen = chosen.unionByName(p)
+    rows = passages.filter((F.col("pos") < SAMPLE_PASSAGES) & (F.length("text") > 20)).select(F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = rows.join(F.broadcast(chosen.select("doc_id", "l")), "doc_id")  # at most SAMPLE pages of each language
+    first = CodeClassifiers.fit([])
+    agreed = lambda t, x: (d := first.decode(t))[0] == x and d[1] >= AGREED
+    lines = [(t, r["l"]) for r in rows.distinct().orderBy("l", "doc_id", "text").collect() for t in repair(r["text"])[0].split("\n")]
+    return CodeClassifiers.fit([(t, x) for t, x in lines if agreed(t, x)])
 
 
 def declared(html_lang: str | None) -> str | None:
@@ -162,62 +184,76 @@ def page_language(lines: list[str], model: CodeClassifiers) -> tuple[str | None,
     votes: Counter = Counter()
     total = 0.0
     for line in lines:
-        for s in T.SENTENCE.split(line):
-            language, p = model.decode(s)
-            n = len(LETTERS.findall(s))
-            if language:
-                votes[language] += n * p
-                total += n
+        language, p = model.decode(line)
+        n = len(LETTERS.findall(line))
+        if language:
+            votes[language] += n * p
+            total += n
     if not votes:
         return None, 0.0
     best = max(sorted(votes), key=votes.__getitem__)
     return best, votes[best] / total
 
 
+def n_words(text: str) -> int:
+    return len(LETTERS.findall(T.URL.sub(" ", text) if "://" in text else text))
+
+
+def read_page(items: list[tuple[int, str, str | None]], known: set[int], model: CodeClassifiers) -> tuple[str | None, float, list[tuple[int, str, str | None, float]]]:
+    """(language of the main body, confidence, (pos, text, language, confidence) of each passage with text)."""
+    kept = body(items, known)
+    own, p = page_language([s for _, left, _ in kept for s in left], model)
+    if own is None:
+        own, p = page_language([s for _, t, _ in items for s in T.lines(t)], model)
+    return own, p, [(pos, text, *model.decode(text)) for pos, t, _ in items if (text := T.repaired(t)).strip()]
+
+
+def _passes(passages: DataFrame, index: DataFrame) -> tuple[DataFrame, CodeClassifiers]:
+    """Pages with their templates and label, and the classifiers."""
+    labels = latest_documents(index).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("html_lang"), F.lit(True).alias("listed"))
+    return with_templates(passages, index).join(labels, "doc_id", "left"), fit_classifiers(passages, index)
+
+
+def segments(text: str, model: CodeClassifiers) -> list[dict] | None:
+    """The sentences of a text with their languages, if they are of more than one for certain."""
+    parts = [(s, *model.decode(s)) for line in text.split("\n") for s in T.SENTENCE.split(line) if s.strip()]
+    mixed = len({x for _, x, c in parts if x and c >= AMBIGUOUS}) > 1
+    return [{"segment": s, "lang": x, "confidence": c} for s, x, c in parts] if mixed else None
+
+
 SCHEMA = "doc_id string, pos int, lang string, confidence double, page_lang string, words int, segments array<struct<segment:string,lang:string,confidence:double>>"
 
 
-def languages(passages: DataFrame, index: DataFrame, documents: DataFrame) -> DataFrame:
+def languages(passages: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, pos, lang, confidence, page_lang, words, segments``: one row for each page, with ``pos`` -1 and the language
     of its main body, and one for each passage with text; ``segments`` has the sentences of a passage that mixes languages.
 
     Null and empty passages have no row; a text that tells nothing has a null language and confidence 0. Repeated passages
     count once, empty tables give no rows, extra columns are ignored. A garbled passage is read as it was written.
     """
-    model = fit_classifiers(documents)
-    weights, known = model.weights, model.known
-    held: list[CodeClassifiers] = []
+    pages, model = _passes(passages, index)
 
     def run(row: dict) -> list[tuple]:
-        if not held:
-            held.append(CodeClassifiers(weights, known))
-        m = held[0]
-        items = once(row["items"])
-        kept = body(items, set(row["known"] or ()))
-        own, p = page_language([s for _, left, _ in kept for s in left], m)
-        if own is None:
-            own, p = page_language([s for _, t, _ in items for s in T.lines(t)], m)
+        own, p, read = read_page(once(row["items"]), set(row["known"] or ()), model)
         out = [(row["doc_id"], -1 - row["chunk"], own, p, own, 0, None)]
-        for pos, text, _ in items:
-            text = repair(text)[0]
-            if text.strip():
-                language, conf = m.decode(text)
-                parts = [(s, *m.decode(s)) for line in text.split("\n") for s in T.SENTENCE.split(line) if s.strip()] if "\n" in text or len(text) > 80 else []
-                mixed = len({x for _, x, c in parts if x and c >= AMBIGUOUS}) > 1
-                out.append((row["doc_id"], pos, language, conf, own, len(LETTERS.findall(T.URL.sub(" ", text))), [{"segment": s, "lang": x, "confidence": c} for s, x, c in parts] if mixed else None))
-        return out
+        return out + [(row["doc_id"], pos, x, c, own, n_words(text), segments(text, model) if len(text) > 40 else None) for pos, text, x, c in read]
 
     names = ["doc_id", "pos", "lang", "confidence", "page_lang", "words", "segments"]
     types = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())]))]
-    return with_templates(passages, index).mapInArrow(per_row(run, names, types), SCHEMA)
+    return pages.mapInArrow(per_row(run, names, types), SCHEMA)
 
 
-def found(passages: DataFrame, index: DataFrame, documents: DataFrame) -> DataFrame:
+def found(passages: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, pos, lang``: pages (pos -1) whose label is null, no language or another than that of the main body, and
-    passages of five words or more in another language than it. A very long page is judged by its first chunk."""
-    every = languages(passages, index, documents)
-    label = F.regexp_extract(F.lower(F.trim("html_lang")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
-    wrong = F.coalesce(label != F.col("lang"), F.lit(True))
-    pages = every.filter((F.col("pos") == -1) & F.col("lang").isNotNull()).join(latest_documents(index).select(F.col("doc_id").cast("string").alias("doc_id"), "html_lang"), "doc_id")
-    other = every.filter((F.col("pos") >= 0) & (F.col("words") >= MIN_WORDS) & (F.col("lang") != F.col("page_lang")) & (F.col("confidence") >= AMBIGUOUS))
-    return pages.filter(wrong).select("doc_id", "pos", "lang").unionByName(other.select("doc_id", "pos", "lang"))
+    passages of five words or more in another language than it. A very long page is judged by its first chunk; a page without
+    a row in the index has no label to judge."""
+    pages, model = _passes(passages, index)
+
+    def run(row: dict) -> list[tuple]:
+        own, _, read = read_page(once(row["items"]), set(row["known"] or ()), model)
+        if own is None:
+            return []
+        out = [(row["doc_id"], -1, own)] if row["chunk"] == 0 and row["listed"] and declared(row["html_lang"]) != own else []
+        return out + [(row["doc_id"], pos, x) for pos, text, x, c in read if x not in (None, own) and c >= AMBIGUOUS and n_words(text) >= MIN_WORDS]
+
+    return pages.mapInArrow(per_row(run, ["doc_id", "pos", "lang"], [pa.string(), pa.int32(), pa.string()]), "doc_id string, pos int, lang string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import xxhash
 
@@ -52,39 +53,84 @@ def hashed(kind: str, text: str) -> int:
     return xxhash.xxh64_intdigest(kind + text) - (1 << 63)
 
 
-def bare(line: str) -> str:
-    """What stands in a line besides signs."""
-    return "".join(c for c in line if c.isalnum())
+SIGNS = re.compile(r"[\W_]+")
+SOLID = re.compile(r"[^\W_]")
+CYRILLIC = re.compile("[А-я]")
+STOP_WITHIN = re.compile(r"[.!?]\s")
+
+
+def letters(line: str) -> int:
+    """Letters and digits of a line."""
+    return len(SIGNS.sub("", line))
+
+
+@lru_cache(1 << 10)
+def repaired(text: str | None) -> str:
+    """A passage as it was written; kept for the operators that ask for it again within a page."""
+    return repair(text)[0] or ""
 
 
 def lines(text: str | None) -> list[str]:
     """Lines of a passage, repaired, without blank ones."""
-    return [s for line in (repair(text)[0] or "").split("\n") if (s := line.strip())]
+    return [s for line in repaired(text).split("\n") if (s := line.strip())]
 
 
-@lru_cache(1 << 14)
 def parts(line: str) -> tuple[str, ...]:
     """The smallest elements of a line: sentences, and the entries of a list with separators."""
-    return tuple(p for s in SENTENCE.split(line) for p in SEPARATOR.split(s) if bare(p))
+    return tuple(p for s in SENTENCE.split(line) for p in SEPARATOR.split(s) if SOLID.search(p))
+
+
+class Line(NamedTuple):
+    """Hashes of a line's elements: the line, its parts with their letters, its label, its end, the line without losses."""
+
+    whole: int
+    heading: int
+    parts: tuple[tuple[int, int], ...]
+    label: int | None
+    tail: int | None
+    tail_is_cut: bool
+    lossy: int | None
+    lost: bool
+    sentence: bool
+    title: bool
+    ends: bool
+    call: bool
+
+
+@lru_cache(1 << 15)
+def line_of(line: str) -> Line:
+    k = key(line)
+    label, tail = LABEL.search(line), TAIL.search(line)
+    lossy_key = None if line.isascii() else lossy(line)
+    ends = bool(ENDS.search(line))
+    return Line(
+        whole=hashed("L", k),
+        heading=hashed("T", k),
+        parts=tuple((hashed("S", key(p)), letters(p)) for p in parts(line)),
+        label=hashed("P", key(label.group(1))) if label else None,
+        tail=hashed("E", key(tail.group(1))) if tail else None,
+        tail_is_cut=bool(tail) and ends and tail.group(1).strip() == "…" and not title_cut(line),
+        lossy=None if lossy_key is None else hashed("X", lossy_key),
+        lost=LOST in line,
+        sentence=is_sentence(line),
+        title=title_like(line, None),
+        ends=ends,
+        call=bool(CALL.search(line)),
+    )
 
 
 def is_sentence(line: str) -> bool:
     """Whether a line holds a sentence: four words or more, and a full stop at its end or within."""
     line = NUMBERED.sub("", line)
-    return len(WORD.findall(line)) >= 4 and bool(ENDS.search(line) or re.search(r"[.!?]\s", line))
+    return bool(ENDS.search(line) or STOP_WITHIN.search(line)) and len(WORD.findall(line)) >= 4
 
 
-def clause_chars(line: str) -> int:
-    """Characters of a line in sentences that have a clause's words."""
-    n = 0
-    for s in SENTENCE.split(line):
-        w = WORD.findall(s.lower())
-        if len(w) >= 4 and ENDS.search(s):
-            n += len(s)
+def clause_sentences(line: str) -> list[tuple[str, int]]:
+    """(sentence, its characters if it is a clause) of a line. Clauses end with a stop and have four words, and the line has
+    the words clauses are made with; Russian does with few of them."""
     w = WORD.findall(line.lower())
-    share = sum(x in CLAUSE_WORDS for x in w) / max(1, len(w))
-    cyrillic = any("а" <= c <= "я" for c in line.lower())
-    return n if share >= (0.0 if cyrillic else 0.08) else 0
+    clauses = sum(x in CLAUSE_WORDS for x in w) >= 0.08 * len(w) or CYRILLIC.search(line) is not None
+    return [(s, len(s) if clauses and ENDS.search(s) and len(WORD.findall(s)) >= 4 else 0) for s in SENTENCE.split(line)]
 
 
 def title_cut(line: str) -> bool:
@@ -96,7 +142,3 @@ def title_like(text: str, ptype: str | None) -> bool:
     """One line without a sentence's end that is not marked as a heading."""
     title = text.removesuffix("…").rstrip()
     return ptype != "h" and "\n" not in title and 2 <= len(WORD.findall(title)) <= 25 and not is_sentence(title)
-
-
-def is_lost(text: str) -> bool:
-    return LOST in text

@@ -17,10 +17,6 @@ def over(run: Callable[..., DataFrame], *names: str) -> Query:
     return lambda spark, d: run(*[table(spark, d, n) for n in names])
 
 
-def p2_found(passages: DataFrame, index: DataFrame, features: DataFrame) -> DataFrame:
-    return templates.found(passages, index, spam.found(passages, index, features))
-
-
 def p4_frequent(passages: DataFrame, index: DataFrame) -> DataFrame:
     return site_lines.frequent_lines(site_lines.site_lines(passages, index), index).groupBy("site").agg(F.count("*").alias("lines"), F.max("pages").alias("most_pages"))
 
@@ -33,10 +29,10 @@ def p5_scores(postings: DataFrame, index: DataFrame) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": over(spam.found, "passages", "documents_idx", "crawl_features"),
-        "p2_found": over(p2_found, "passages", "documents_idx", "crawl_features"),
+        "p2_found": over(spam.boilerplate, "passages", "documents_idx", "crawl_features"),
         "p2_bodies": over(templates.main_bodies, "passages", "documents_idx"),
-        "p3_found": over(language.found, "passages", "documents_idx", "documents"),
-        "p3_languages": over(language.languages, "passages", "documents_idx", "documents"),
+        "p3_found": over(language.found, "passages", "documents_idx"),
+        "p3_languages": over(language.languages, "passages", "documents_idx"),
         "p4_found": over(site_lines.found, "passages", "documents_idx"),
         "p4_frequent": over(p4_frequent, "passages", "documents_idx"),
         "p4_cleaned": over(site_lines.cleaned, "passages", "documents_idx"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindrift.llm import page_text as T
 from spindrift.llm.pages import once, per_row
@@ -20,65 +21,75 @@ from spindrift.llm.templates import body, with_templates
 MAX_CLAUSES = 0.5
 #: band about it where links and tags weigh
 DOUBT = 0.06
+#: from this share of its characters covered by repeats a sentence loses what they cover
+REPEATED = 0.6
 #: words of a repeated substring at least
 LEAST = 3
+#: words of one automaton; a longer page has several, or all its short runs of words would recur
+BLOCK = 600
 
 
 def sentence_stats(lines: list[str]) -> tuple[int, float, int]:
     """(own characters, of them in clauses not covered by repeats, characters covered by repeats)."""
-    words, owner, chars = [], [], []
-    clause = []
+    words, owner, chars, clause = [], [], [], []
     own = 0
     for line in lines:
         line = " ".join(line.split())
         own += len(line)
-        for s in T.SENTENCE.split(line):
-            clause.append(T.clause_chars(s) if T.clause_chars(line) else 0)
-            for w in T.URL.sub(" ", s).lower().split():
-                words.append("".join(c for c in w if c.isalnum()) or w)
-                owner.append(len(clause) - 1)
+        for s, n in T.clause_sentences(line):
+            for w in (T.URL.sub(" ", s) if "://" in s else s).lower().split():
+                words.append(T.SIGNS.sub("", w) or w)
+                owner.append(len(clause))
                 chars.append(len(w) + 1)
-    covered = SuffixAutomaton(words).covered(LEAST)
+            clause.append(n)
     total, hit = [0] * len(clause), [0] * len(clause)
+    blocks = max(1, -(-len(words) // BLOCK))
+    ends = [len(words) * k // blocks for k in range(blocks + 1)]
+    covered = [c for a, b in zip(ends[:-1], ends[1:], strict=True) for c in SuffixAutomaton(words[a:b]).covered(LEAST)]
     for o, n, c in zip(owner, chars, covered, strict=True):
         total[o] += n
-        hit[o] += n * c
-    good = sum(n * (1 - h / t) if h > 0.6 * t else n for n, h, t in zip(clause, hit, total, strict=True) if t)
+        if c:
+            hit[o] += n
+    good = sum(n * (1 - h / t) if h > REPEATED * t else n for n, h, t in zip(clause, hit, total, strict=True) if t)
     return own, good, sum(hit)
 
 
-SCHEMA = "doc_id string, own long, clauses double, covered long, words long, site long"
-TYPES = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+SCHEMA = "doc_id string, links int, tags int, own long, clauses double, covered long, words long, dropped array<int>"
+TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def page_stats(passages: DataFrame, index: DataFrame) -> DataFrame:
-    """``doc_id, own, clauses, covered, words``: characters of a page's own lines, those in clauses, those that repeated
-    substrings cover, and its words; chunks of a very long page are summed."""
+def judged(passages: DataFrame, index: DataFrame, features: DataFrame) -> DataFrame:
+    """``doc_id, own, clauses, covered, words, links, tags, dropped, spam``: one row for each chunk of a page; the figures are
+    those of the whole page, ``dropped`` has the positions that the chunk's template covers.
+
+    Pages without own text are not spam. Null link counts, and a 0, count as unknown, then the tags weigh; of repeated
+    feature rows the greatest counts hold. Repeated passages count once; empty tables give no rows; extra columns are
+    ignored. One pass of Python over the pages; only counts are shuffled after it.
+    """
 
     def run(row: dict) -> list[tuple]:
         kept = body(once(row["items"]), set(row["known"] or ()))
         lines = [s for _, left, _ in kept for s in left]
         own, good, hit = sentence_stats(lines)
-        return [(row["doc_id"], own, good, hit, sum(len(T.WORD.findall(s)) for s in lines), len(kept))]
-
-    rows = with_templates(passages, index).mapInArrow(per_row(run, SCHEMA.replace("string", "").replace("long", "").replace("double", "").replace(" ", "").split(","), TYPES), SCHEMA)
-    return rows.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("own", "clauses", "covered", "words")])
-
+        return [(row["doc_id"], row["links"], row["tags"], own, good, hit, sum(len(T.WORD.findall(s)) for s in lines), [pos for pos, _, drop in kept if drop])]
 
-def spam_pages(passages: DataFrame, index: DataFrame, features: DataFrame) -> DataFrame:
-    """``doc_id, own, clauses, covered, words, links, tags, spam`` of every page with passages.
-
-    Pages without own text are not spam. Null link counts, and a 0 that the tags or the text belie, count as unknown; of
-    repeated feature rows the greatest counts hold. Repeated passages count once; empty tables give no rows; extra columns
-    are ignored.
-    """
-    f = features.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("url_count").alias("links"), F.max("tag_count").alias("tags"))
+    f = features.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("url_count").cast("int").alias("links"), F.max("tag_count").cast("int").alias("tags"))
+    rows = with_templates(passages, index).join(f, "doc_id", "left").mapInArrow(per_row(run, NAMES, TYPES), SCHEMA)
+    page = Window.partitionBy("doc_id")
+    whole = rows.withColumns({c: F.sum(c).over(page) for c in ("own", "clauses", "covered", "words")})
     share = F.col("clauses") / F.col("own")
-    # links to a hundred words and tags to a hundred words, where known: dense markup moves the bound up, sparse down
+    # links to a word and tags to a word, where known: dense markup moves the bound up, sparse down
     dense = F.when(F.col("links") > 0, F.col("links") / F.greatest("words", F.lit(1)) > 1).otherwise(F.coalesce(F.col("tags") / F.greatest("words", F.lit(1)) > 2, F.lit(False)))
     bound = F.lit(MAX_CLAUSES) + F.when(dense, DOUBT / 2).otherwise(-DOUBT / 2)
-    return page_stats(passages, index).join(f, "doc_id", "left").withColumn("spam", F.coalesce((F.col("own") > 0) & (F.when(F.col("own") > 0, share) < bound), F.lit(False)))
+    return whole.withColumn("spam", F.coalesce(F.when(F.col("own") > 0, share) < bound, F.lit(False)))
 
 
 def found(passages: DataFrame, index: DataFrame, features: DataFrame) -> DataFrame:
-    return spam_pages(passages, index, features).filter("spam").select("doc_id")
+    """Problem 1: the pages that are spam."""
+    return judged(passages, index, features).filter("spam").select("doc_id").distinct()
+
+
+def boilerplate(passages: DataFrame, index: DataFrame, features: DataFrame) -> DataFrame:
+    """Problem 2: ``doc_id, pos`` of passages none of whose text belongs to the main body, spam pages left out."""
+    return judged(passages, index, features).filter("not spam").select("doc_id", F.explode("dropped").alias("pos"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import page_text as T
 from spindrift.llm.pages import gathered, once, per_row
+from spindrift.sources.tables import checkpoint_folder
 
 #: an element is of the template from so many pages of its host, and this share of them
 MIN_PAGES, MIN_SHARE = 4, 0.01
@@ -24,22 +25,13 @@ LIST_SHARE = 0.4
 #: share of a passage's letters that the template covers
 COVER = 0.5
 SALTS = 16
-LINE, PART, LABEL, TAIL, LOSSY, LIST = "L", "S", "P", "E", "X", "T"
+LINE, PART, LABEL, TAIL, LOSSY, LIST, PAGE = "L", "S", "P", "E", "X", "T", "D"
 
 
 def line_elements(line: str) -> set[tuple[str, int]]:
-    out = {(LINE, T.hashed(LINE, T.key(line)))} | {(PART, T.hashed(PART, T.key(p))) for p in T.parts(line)}
-    if m := T.LABEL.search(line):
-        out.add((LABEL, T.hashed(LABEL, T.key(m.group(1)))))
-    if m := T.TAIL.search(line):
-        out.add((TAIL, T.hashed(TAIL, T.key(m.group(1)))))
-    if not line.isascii():
-        out.add((LOSSY, T.hashed(LOSSY, T.lossy(line))))
-    return out
-
-
-def heading(line: str) -> int:
-    return T.hashed(LIST, T.key(line))
+    x = T.line_of(line)
+    out = {(LINE, x.whole)} | {(PART, h) for h, _ in x.parts}
+    return out | {(k, h) for k, h in ((LABEL, x.label), (TAIL, x.tail), (LOSSY, x.lossy)) if h is not None}
 
 
 def page_elements(items: list[tuple[int, str, str | None]]) -> set[tuple[str, int, int]]:
@@ -49,34 +41,36 @@ def page_elements(items: list[tuple[int, str, str | None]]) -> set[tuple[str, in
     for _, text, ptype in items:
         for line in T.lines(text):
             out |= {(k, h, 0) for k, h in line_elements(line)}
+            x = T.line_of(line)
             if before is not None:
-                out.add((LIST, before, T.hashed(LINE, T.key(line)) if T.title_like(line, ptype) else 0))
-            before = heading(line) if not T.is_sentence(line) else None
+                out.add((LIST, before, x.whole if x.title and ptype != "h" else 0))
+            before = None if x.sentence else x.heading
     if before is not None:
         out.add((LIST, before, 0))
     return out
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """``site, doc_id, kind, h, follows``: each element of each page; ``site`` is empty for pages without one."""
+    """``site, doc_id, kind, h, follows``: each element of each page, and one row for the page itself; ``site`` is empty for
+    pages without one."""
 
     def run(row: dict) -> list[tuple]:
-        return [(row["site"] or "", row["doc_id"], k, h, f) for k, h, f in page_elements(once(row["items"]))]
+        site, doc = row["site"] or "", row["doc_id"]
+        return [(site, doc, PAGE, 0, 0), *((site, doc, k, h, f) for k, h, f in page_elements(once(row["items"])))]
 
     out = per_row(run, ["site", "doc_id", "kind", "h", "follows"], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()])
     return pages.mapInArrow(out, "site string, doc_id string, kind string, h long, follows long")
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(every: DataFrame) -> DataFrame:
     """``site, kind, h`` of the elements that recur; those recurring in the whole crawl have a null site.
 
     A page gives an element once (chunks of one very long page count as pages), so the count per (site, element) is a partial
     sum before the shuffle; the counts of the crawl are sums over sites. A line heads a list if the titles that follow it
     differ from page to page.
     """
-    every = elements(pages)
-    count = every.filter(F.col("kind") != LIST).groupBy("site", "kind", "h").agg(F.count("*").alias("n"))
-    own = pages.groupBy(F.coalesce("site", F.lit("")).alias("site")).agg(F.count("*").alias("pages"))
+    count = every.filter(~F.col("kind").isin(LIST, PAGE)).groupBy("site", "kind", "h").agg(F.count("*").alias("n"))
+    own = every.filter(F.col("kind") == PAGE).groupBy("site").agg(F.count("*").alias("pages"))
     host = count.filter((F.col("n") >= MIN_PAGES) & F.col("kind").isin(LINE, PART, LOSSY) & (F.col("site") != ""))
     host = host.join(own, "site").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("site", "kind", "h")
     lists = every.filter(F.col("kind") == LIST).groupBy("kind", "h", "follows").agg(F.count("*").alias("n"))
@@ -89,10 +83,16 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def page_templates(pages: DataFrame) -> DataFrame:
-    """``doc_id, known``: the template's elements on each page. The template, far smaller than the elements, is repeated for
-    each salt, so that a footer of a hot site is joined in several tasks."""
-    mine = elements(pages).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    often = templates(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``doc_id, known``: the template's elements on each page.
+
+    Elements are taken from the pages once and kept by a checkpoint, as they are counted and joined with their counts. The
+    template, far smaller than the elements, is repeated for each salt, so that a footer of a hot site is joined in several
+    tasks.
+    """
+    checkpoint_folder(pages.sparkSession)
+    every = elements(pages).checkpoint()
+    mine = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    often = templates(every).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     host = mine.join(often.filter("site is not null"), ["site", "kind", "h", "salt"], "left_semi")
     everywhere = mine.join(often.filter("site is null").drop("site"), ["kind", "h", "salt"], "left_semi")
     return host.select("doc_id", "h").unionByName(everywhere.select("doc_id", "h")).groupBy("doc_id").agg(F.collect_set("h").alias("known"))
@@ -104,23 +104,17 @@ def with_templates(passages: DataFrame, index: DataFrame) -> DataFrame:
     return pages.join(page_templates(pages), "doc_id", "left")
 
 
-def line_share(line: str, known: set[int]) -> float:
+def line_share(x: T.Line, known: set[int]) -> float:
     """Share of a line's letters that the template covers; 1 if the whole line or its label or end is of the template, or
     if it is an advertisement or a row of entries of which most are of the template."""
-    if T.hashed(LINE, T.key(line)) in known or (T.is_lost(line) and T.hashed(LOSSY, T.lossy(line)) in known):
+    if x.whole in known or (x.lost and x.lossy in known) or x.label in known or (x.tail in known and not x.tail_is_cut):
         return 1.0
-    sentence = bool(T.ENDS.search(line))
-    if (m := T.LABEL.search(line)) and T.hashed(LABEL, T.key(m.group(1))) in known:
+    if x.call and not x.ends:
         return 1.0
-    if (m := T.TAIL.search(line)) and T.hashed(TAIL, T.key(m.group(1))) in known and not (sentence and m.group(1).strip() == "…" and not T.title_cut(line)):
+    hits = [n for h, n in x.parts if h in known]
+    if len(x.parts) > 2 and not x.ends and 2 * len(hits) >= len(x.parts):
         return 1.0
-    if T.CALL.search(line) and not sentence:
-        return 1.0
-    parts = T.parts(line)
-    hits = [p for p in parts if T.hashed(PART, T.key(p)) in known]
-    if len(parts) > 2 and not sentence and 2 * len(hits) >= len(parts):
-        return 1.0
-    return sum(len(T.bare(p)) for p in hits) / max(1, sum(len(T.bare(p)) for p in parts))
+    return sum(hits) / max(1, sum(n for _, n in x.parts))
 
 
 def body(items: list[tuple[int, str, str | None]], known: set[int]) -> list[tuple[int, list[str], bool]]:
@@ -132,20 +126,16 @@ def body(items: list[tuple[int, str, str | None]], known: set[int]) -> list[tupl
             continue
         left = []
         for line in own:
-            if line_share(line, known) >= COVER:
-                listing = listing or heading(line) in known
-            elif not (listing and T.title_like(line, ptype)):
+            x = T.line_of(line)
+            if line_share(x, known) >= COVER:
+                listing = listing or x.heading in known
+            elif not (listing and x.title and ptype != "h"):
                 left.append(line)
                 listing = False
         out.append((pos, left, not left))
     return out
 
 
-def found(passages: DataFrame, index: DataFrame, spam: DataFrame) -> DataFrame:
-    """``doc_id, pos`` of passages none of whose text belongs to the main body, pages in ``spam`` left out."""
-    return main_bodies(passages, index).filter("boilerplate").select("doc_id", "pos").join(spam.select("doc_id"), "doc_id", "left_anti")
-
-
 def main_bodies(passages: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, pos, text, boilerplate``: each passage with text, and its lines that belong to the main body.
 
