@@ -107,7 +107,7 @@ def q_proximity(spark, d):
 
 
 def q_normalize_url(spark, d):
-    return table(spark, d, "links").select("link_id", U.normalize_url(F.col("link")).alias("norm_url"))
+    return U.with_normal_url(table(spark, d, "links").select("link_id", "link"), "link").select("link_id", "norm_url")
 
 
 def q_url_parts(spark, d):

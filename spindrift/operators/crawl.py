@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.functions.urls import normalize_url, url_host
+from spindrift.functions.urls import url_host, with_normal_url
 
 RATE_SECONDS = 3
 
@@ -24,7 +24,7 @@ def child_priority(base: Column, same_domain: Column, depth: Column, penalty: Co
 
 def visited(links: DataFrame, url: str = "link") -> DataFrame:
     """OP-72: ``norm_url, depth, arrivals``: the least depth of each address."""
-    rows = links.filter(F.col(url).isNotNull()).select(normalize_url(F.col(url)).alias("norm_url"), "depth")
+    rows = with_normal_url(links.filter(F.col(url).isNotNull()).select(url, "depth"), url)
     return rows.groupBy("norm_url").agg(F.min("depth").alias("depth"), F.count("*").alias("arrivals"))
 
 
@@ -32,7 +32,7 @@ def visited_gate(links: DataFrame, order: str = "link_id") -> DataFrame:
     """OP-61: ``link_id, action, penalty`` in order of arrival: ``visit`` a new address; ``stop`` at the depth known or more;
     at less depth ``expand`` the cached links again, with the gain as penalty. The running least depth streams in one sort."""
     w = Window.partitionBy("norm_url").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = links.filter(F.col("link").isNotNull()).select(order, normalize_url(F.col("link")).alias("norm_url"), "depth").withColumn("known", F.min("depth").over(w))
+    rows = with_normal_url(links.filter(F.col("link").isNotNull()).select(order, "link", "depth"), "link").withColumn("known", F.min("depth").over(w))
     action = F.when(F.col("known").isNull(), "visit").when(F.col("depth") >= F.col("known"), "stop").otherwise("expand")
     return rows.select(order, action.alias("action"), F.when(F.col("depth") < F.col("known"), F.col("known") - F.col("depth")).otherwise(0).alias("penalty"))
 

@@ -24,6 +24,8 @@ def one(spark, column, **values):
 )
 def test_normalize(spark, url, expected):
     assert one(spark, U.normalize_url(F.col("u")), u=url) == expected
+    df = spark.createDataFrame([(url, 1)], "u string, norm_url int")
+    assert U.with_normal_url(df, "u").select("norm_url").first()[0] == expected
 
 
 def test_root_and_origin(spark):
