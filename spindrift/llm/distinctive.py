@@ -9,9 +9,12 @@ A page's positions are cut into blocks of bounded length, each with the window's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spindrift.sources.tables import latest_documents
 
@@ -21,52 +24,109 @@ BLOCK = 4096
 MIN_SCORE = 0.02
 
 
-def postings_once(postings: DataFrame) -> DataFrame:
-    """``term, doc_id, tf, positions``: each (term, doc_id) once; a null tf is the length of ``positions``.
+def blocks(postings: DataFrame) -> DataFrame:
+    """``doc_id, block, items``: the postings of each page cut into blocks of positions, each with the window's margin.
 
-    Of repeated rows the greatest (tf, positions) is kept, a null tf being the least. Null terms and pages are dropped.
+    An item is ``term, tf, at, first, homes``: the positions within the block and its margin, whether the term is counted
+    in this block, and in how many blocks it has positions. A null tf is the number of positions; terms without positions
+    stand in block 0. Null terms and pages are dropped. The one shuffle of the postings; no group grows with a page.
     """
-    p = F.coalesce(F.col("positions"), F.expr("cast(array() as array<struct<i:int,ptype:string>>)"))
-    best = F.max(F.struct(F.col("tf").cast("int").alias("tf"), F.transform(p, lambda x: x["i"].cast("int")).alias("at"))).alias("r")
-    rows = postings.filter(F.col("term").isNotNull() & F.col("doc_id").isNotNull())
-    return rows.groupBy("term", F.col("doc_id").cast("string").alias("doc_id")).agg(best).select("term", "doc_id", F.coalesce("r.tf", F.size("r.at")).alias("tf"), F.col("r.at").alias("at"))
-
-
-def degrees(rows: DataFrame) -> DataFrame:
-    """``doc_id, term, degree``: distinct neighbours of each term within the window; terms without positions have no row."""
-    at = rows.select("doc_id", "term", F.explode("at").alias("i")).filter(F.col("i").isNotNull())
-    home = F.floor(F.col("i") / BLOCK)
-    blocks = F.array_distinct(F.array(home, F.floor((F.col("i") - WINDOW) / BLOCK), F.floor((F.col("i") + WINDOW) / BLOCK)))
-    cut = at.select("doc_id", "term", "i", home.alias("home"), F.explode(blocks).alias("block"))
-    near = Window.partitionBy("doc_id", "block").orderBy("i").rangeBetween(-WINDOW, WINDOW)
-    seen = cut.withColumn("near", F.collect_set("term").over(near)).filter(F.col("home") == F.col("block"))
-    union = F.array_distinct(F.flatten(F.collect_set("near")))
-    return seen.groupBy("doc_id", "term").agg(F.size(F.array_remove(union, F.col("term"))).alias("degree"))
-
-
-def distinctiveness(postings: DataFrame, index: DataFrame) -> DataFrame:
+    at = F.coalesce(F.transform("positions", lambda p: p["i"].cast("int")), F.expr("cast(array() as array<int>)"))
+    rows = postings.filter(F.col("term").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "term", F.col("tf").cast("int").alias("tf"), F.filter(at, lambda i: i.isNotNull()).alias("at"))
+    of = lambda shift: F.transform("at", lambda i: F.floor((i + shift) / BLOCK).cast("int"))
+    rows = rows.withColumn("tf", F.coalesce("tf", F.size("at"))).withColumn("home", F.array_distinct(of(0)))
+    single = (F.size("at") > 0) & (F.array_max("at") < BLOCK - WINDOW)
+    every = F.when((F.size("at") == 0) | single, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(of(-WINDOW), F.col("home"), of(WINDOW))))
+    cut = rows.select("doc_id", "term", "tf", "at", "home", F.explode(every).alias("block")).filter("block >= 0")
+    low, high = F.col("block") * BLOCK - WINDOW, (F.col("block") + 1) * BLOCK + WINDOW
+    own = F.when(F.size("at") <= 1, F.col("at")).otherwise(F.filter("at", lambda i: (i >= low) & (i < high)))
+    first = F.col("block") == F.coalesce(F.array_min("home"), F.lit(0))
+    item = F.struct("term", "tf", own.alias("at"), first.alias("first"), F.size("home").alias("homes"))
+    return cut.select("doc_id", "block", item.alias("item")).groupBy("doc_id", "block").agg(F.collect_list("item").alias("items"))
+
+
+def _neighbours(block: int, items: list[dict]) -> Iterator[tuple[dict, set[str] | None]]:
+    """Each term of a block once, with its distinct neighbours, or None if it has no position of its own in the block."""
+    once: dict[str, dict] = {}
+    for x in items:
+        y = once.get(x["term"])
+        if y is None or (x["tf"], x["at"]) > (y["tf"], y["at"]):
+            once[x["term"]] = x
+    here: dict[int, list[str]] = {}
+    for t, x in once.items():
+        for i in x["at"]:
+            here.setdefault(i, []).append(t)
+    low, high = block * BLOCK, (block + 1) * BLOCK
+    for t, x in once.items():
+        near: set[str] = set()
+        home = False
+        for i in x["at"]:
+            if low <= i < high:
+                home = True
+                for j in range(i - WINDOW, i + WINDOW + 1):
+                    near.update(here.get(j, ()))
+        near.discard(t)
+        yield x, near if home else None
+
+
+SCHEMA = "doc_id string, term string, tf int, degree int, near array<long>, first boolean"
+TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
+
+
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    for b in batches:
+        docs, block, items = (b.column(k) for k in range(3))
+        for i in range(b.num_rows):
+            doc = docs[i].as_py()
+            rows = []
+            for x, near in _neighbours(block[i].as_py(), items[i].as_py()):
+                if near is not None or x["first"]:
+                    hashes = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in near] if x["homes"] > 1 and near is not None else None
+                    rows.append((doc, x["term"], x["tf"], len(near or ()), hashes, x["first"]))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=names)
+
+
+def weighted(parts: DataFrame) -> DataFrame:
+    """``doc_id, term, tf, degree``: of a term in one block the degree is final; only those in several are put together."""
+    several = F.exists("items", lambda x: x["homes"] > 1)
+    whole = parts.filter(~several).mapInArrow(_run, SCHEMA).select("doc_id", "term", "tf", "degree")
+    cut = parts.filter(several).mapInArrow(_run, SCHEMA).groupBy("doc_id", "term").agg(F.max("tf").alias("tf"), F.max("degree").alias("d"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    return whole.unionByName(cut.select("doc_id", "term", "tf", F.greatest("d", F.size("near")).alias("degree")))
+
+
+def _terms(items: str) -> Column:
+    """{term: tf} of the terms counted in a block; of repeated rows the greatest tf."""
+    kept = F.transform(F.filter(items, lambda x: x["first"]), lambda x: F.struct(x["term"].alias("k"), x["tf"].alias("v")))
+    last = lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["k"] != x["k"], F.lit(True)))
+    return F.map_from_entries(F.get(F.transform(F.array(F.array_sort(kept)), last), 0))  # sorted once
+
+
+def distinctiveness(postings: DataFrame, index: DataFrame, least: float | None = None) -> DataFrame:
     """``doc_id, term, tf, degree, df, tokens, rarity, tf_score, graph_score`` of every (page, term).
 
     ``tokens`` is the page's token_count (latest fetch) or, if null or below 1, the sum of its tf; ``rarity`` is
     ln(N / (df + 1)) / ln N with N the number of pages; a score is weight / tokens times rarity. With fewer than two pages
-    rarity is null, and so are the scores. Terms without positions have degree 0. Empty tables give no rows; extra columns
-    are ignored; ties need no order, as no row depends on another's rank.
+    rarity is null, and so are the scores. Terms without positions have degree 0. Of repeated rows of a (term, page) the
+    greatest (tf, positions) holds. Empty tables give no rows; extra columns are ignored; ties need no order, as no row
+    depends on another's rank. With ``least`` only rows whose tf / tokens reaches it go on to the join with the terms'
+    rarity, which is under 1: no row whose frequency score reaches ``least`` is lost.
     """
-    rows = postings_once(postings)
-    pages = rows.groupBy("doc_id").agg(F.sum("tf").alias("total"))
+    parts = blocks(postings)
+    once = F.aggregate(F.map_values(_terms("items")), F.lit(0).cast("long"), lambda a, x: a + x)
+    pages = parts.select("doc_id", once.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("total"))
     n = pages.agg(F.count("*").cast("double").alias("n"))
     count = latest_documents(index).select(F.col("doc_id").cast("string").alias("doc_id"), "token_count")
     tokens = pages.join(count, "doc_id", "left").select("doc_id", F.when(F.col("token_count") >= 1, F.col("token_count")).otherwise(F.col("total")).cast("double").alias("tokens"))
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    ln_n = F.when(F.col("n") >= 2, F.log("n"))
-    rarity = F.log(F.col("n") / (F.col("df") + 1)) / ln_n
+    df = parts.select(F.explode(F.map_keys(_terms("items"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    rows = weighted(parts).join(tokens, "doc_id")
+    if least is not None:
+        rows = rows.filter(F.when(F.col("tokens") > 0, F.col("tf") / F.col("tokens")) >= least)
+    rarity = F.log(F.col("n") / (F.col("df") + 1)) / F.when(F.col("n") >= 2, F.log("n"))
     share = lambda w: F.when(F.col("tokens") > 0, F.col(w) / F.col("tokens")) * F.col("rarity")
     return (
-        rows.select("doc_id", "term", "tf")
-        .join(degrees(rows), ["doc_id", "term"], "left")
-        .withColumn("degree", F.coalesce("degree", F.lit(0)))
-        .join(tokens, "doc_id")
-        .join(df, "term")
+        rows.join(df, "term")
         .crossJoin(F.broadcast(n))  # one row
         .withColumn("rarity", rarity)
         .select("doc_id", "term", "tf", "degree", "df", "tokens", "rarity", share("tf").alias("tf_score"), share("degree").alias("graph_score"))
@@ -75,4 +135,5 @@ def distinctiveness(postings: DataFrame, index: DataFrame) -> DataFrame:
 
 def found(postings: DataFrame, index: DataFrame) -> DataFrame:
     """Terms of which the frequency score reaches the threshold, among the rows of the weighted graph."""
-    return distinctiveness(postings, index).filter((F.col("degree") >= 0) & (F.col("tf_score") >= MIN_SCORE)).select("doc_id", "term")
+    rows = distinctiveness(postings, index, MIN_SCORE)
+    return rows.filter((F.col("degree") >= 0) & (F.col("tf_score") >= MIN_SCORE)).select("doc_id", "term")

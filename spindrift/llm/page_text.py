@@ -97,7 +97,7 @@ class Line(NamedTuple):
     call: bool
 
 
-@lru_cache(1 << 15)
+@lru_cache(1 << 13)
 def line_of(line: str) -> Line:
     k = key(line)
     label, tail = LABEL.search(line), TAIL.search(line)
