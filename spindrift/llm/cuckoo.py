@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.urls import normalize_url
+from spindrift.functions.urls import with_normal_url
 from spindrift.sources.tables import shuffle_partitions
 
 SLOTS = 4
@@ -187,7 +187,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], size: int
 def _local_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Before the shuffle: in each block all but the first arrival of a key are known to be repeats. They are sent on spread
     over all partitions, so a hot key brings each partition at most one row of every block."""
-    for h1, h2, seq in _blocks(batches, ("h1", "h2", "seq"), BLOCK):
+    for h1, h2, seq, ok in _blocks(batches, ("h1", "h2", "seq", "ok"), BLOCK):
+        h1, h2, seq = h1[ok], h2[ok], seq[ok]
         order = np.lexsort((seq, h2, h1))
         h1, h2, seq = h1[order], h2[order], seq[order]
         repeat = np.r_[False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]
@@ -229,8 +230,9 @@ def _exact_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(df: DataFrame, key: str, seq) -> DataFrame:
-    """Two independent 64-bit hashes of each key: 128 bits identify a key."""
-    return df.filter(F.col(key).isNotNull()).select(F.xxhash64(F.col(key)).alias("h1"), F.xxhash64(F.lit("second"), F.col(key), F.length(key)).alias("h2"), seq.cast("long").alias("seq"))
+    """Two independent 64-bit hashes of each key: 128 bits identify a key. ``ok`` marks those that are not null; they are
+    dropped later, as a filter on a computed key would be pushed down and work the key out a second time."""
+    return df.select(F.xxhash64(F.col(key)).alias("h1"), F.xxhash64(F.lit("second"), F.col(key), F.length(key)).alias("h2"), seq.cast("long").alias("seq"), F.col(key).isNotNull().alias("ok"))
 
 
 def seen_keys(arrivals: DataFrame, key: str, order: str, known: DataFrame | None = None) -> DataFrame:
@@ -259,9 +261,9 @@ def seen_keys(arrivals: DataFrame, key: str, order: str, known: DataFrame | None
 
 def seen_links(links: DataFrame, seeds: DataFrame, index: DataFrame) -> DataFrame:
     """:func:`seen_keys` for the links of a crawl, in order of ``link_id``, by normalised URL."""
-    url = lambda df, c: df.select(normalize_url(F.col(c)).alias("key"))
-    known = url(seeds, "url").unionByName(url(index, "url"))
-    return seen_keys(links.select(F.col("link_id"), normalize_url(F.col("link")).alias("key")), "key", "link_id", known)
+    key = lambda df, c: with_normal_url(df, c, "key")
+    known = key(seeds.select("url"), "url").select("key").unionByName(key(index.select("url"), "url").select("key"))
+    return seen_keys(key(links.select("link_id", "link"), "link"), "key", "link_id", known)
 
 
 def found(links: DataFrame, seeds: DataFrame, index: DataFrame) -> DataFrame:
