@@ -19,12 +19,12 @@ MIN_PAGES = 4
 MIN_SHARE = 0.2
 SALTS = 16
 #: Unicode white space as of Python's str.isspace, no-break space included; a fixed value
-SPACE = r"[\s\x0B\x1C-\x1F\x85   -     　]+"
+SPACES = r"\s\x0B\x1C-\x1F\x85   -     　"
 
 
 def normal_line(line: Column) -> Column:
     """Lower case, each run of digits one 0, white space left out."""
-    return F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{Nd}+", "0"), SPACE, "")
+    return F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{Nd}+", "0"), f"[{SPACES}]+", "")
 
 
 def sites(index: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def passages_once(passages: DataFrame) -> DataFrame:
 def site_lines(passages: DataFrame, index: DataFrame) -> DataFrame:
     """``site, doc_id, pos, line_no, h``: every line that is not blank, of pages with a site; ``h`` hashes the normal line."""
     rows = passages.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & F.col("pos").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("pos").cast("int").alias("pos"), "text")
-    lines = rows.select("doc_id", "pos", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("n", normal_line(F.col("line"))).filter("n <> ''")
-    return lines.select("doc_id", "pos", "line_no", F.xxhash64("n").alias("h")).join(sites(index), "doc_id").select("site", "doc_id", "pos", "line_no", "h")
+    lines = rows.select("doc_id", "pos", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).filter(F.col("line").rlike(f"[^{SPACES}]"))
+    return lines.select("doc_id", "pos", "line_no", F.xxhash64(normal_line(F.col("line"))).alias("h")).join(sites(index), "doc_id").select("site", "doc_id", "pos", "line_no", "h")
 
 
 def frequent_lines(lines: DataFrame, index: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
