@@ -134,7 +134,7 @@ def _spans(text: str, page: str) -> list[tuple[int, int, str]]:
 HIGH_WORD = re.compile("[À-ÿ¨¸¹¿¡]{3,}")
 LATIN_HIGH = re.compile("[À-ÿ¨¸¹]+")
 #: Cyrillic words of which small letters come before capitals, as of KOI8-R read as cp1251 or the reverse
-SWAPPED = re.compile("(?<![А-яЁё])[а-яё][А-ЯЁ]{2,}(?![А-яЁё])|(?<![А-яЁё])[а-яё]+[А-ЯЁ]{3,}")
+SWAPPED = re.compile("(?<![А-яЁё])[а-яё][А-ЯЁЀ-Џ]{2,}(?![а-яё])|(?<![А-яЁё])[а-яё]+[А-ЯЁЀ-Џ]{3,}")
 
 
 def _vowels(word: str) -> bool:
@@ -177,7 +177,7 @@ def _swapped_words(text: str) -> list[tuple[int, int, str]]:
     if not hits:
         return []
     out = []
-    for m in re.finditer(r"[^\W\d_a-zA-Z]+", text):
+    for m in re.finditer(r"[^\W\d_a-zA-Zљї]+", text):  # those two are a space and a sign of the other page
         for a, b in (("cp1251", "koi8_r"), ("koi8_r", "cp1251")):
             try:
                 read = m.group().encode(a).decode(b)

@@ -69,8 +69,11 @@ def judged(passages: DataFrame, index: DataFrame, features: DataFrame) -> DataFr
     """
 
     def run(row: dict) -> list[tuple]:
-        kept = body(once(row["items"]), set(row["known"] or ()))
-        lines = [s for _, left, _ in kept for s in left]
+        items = once(row["items"])
+        kept = body(items, set(row["known"] or ()))
+        titles = {pos for pos, text, ptype in items if ptype == "h" and "\n" not in text.strip()}
+        # a title is no clause in any page, and of a text that is lost nothing can be told
+        lines = [s for pos, left, _ in kept if pos not in titles for s in left if not T.line_of(s).lost]
         own, good, hit = sentence_stats(lines)
         return [(row["doc_id"], row["links"], row["tags"], own, good, hit, sum(len(T.WORD.findall(s)) for s in lines), [pos for pos, _, drop in kept if drop])]
 
