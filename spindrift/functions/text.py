@@ -62,14 +62,19 @@ def measure(word: Column) -> Column:
 
 
 def _step(rules: dict[str, str], above: int):
-    """One step: of the suffixes whose rest measures enough, the longest is replaced."""
+    """One step: of the suffixes whose rest measures enough, the longest is replaced.
+
+    Most words end in none of them, which their last letters tell in one look-up."""
     ordered = sorted(rules.items(), key=lambda r: -len(r[0]))
+    n = min(len(s) for s in rules)
+    ends = sorted({s[-n:] for s in rules})
     table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).alias("r"), F.lit(len(s)).alias("n")) for s, r in ordered])
 
     def run(w: Column) -> Column:
         rest = lambda r: F.left(w, F.length(w) - r["n"])
         hit = F.get(F.filter(table, lambda r: F.endswith(w, r["s"]) & (measure(rest(r)) > above)), 0)
-        return F.get(F.transform(F.array(hit), lambda r: F.coalesce(F.concat(rest(r), r["r"]), w)), 0)
+        changed = F.get(F.transform(F.array(hit), lambda r: F.coalesce(F.concat(rest(r), r["r"]), w)), 0)
+        return F.when(F.right(w, F.lit(n)).isin(ends), changed).otherwise(w)
 
     return run
 

@@ -53,15 +53,16 @@ def signatures(words: DataFrame) -> DataFrame:
 
 
 def classes(signatures: DataFrame) -> DataFrame:
-    """``doc_id, rep``: documents of equal signatures form a class, named by its first document. Copies go no further."""
-    return signatures.select("doc_id", F.xxhash64("sig").alias("h"), F.md5(F.concat_ws(",", F.col("sig").cast("array<string>"))).alias("m")).transform(
-        lambda d: d.join(d.groupBy("h", "m").agg(F.min("doc_id").alias("rep")), ["h", "m"]).select("doc_id", "rep")
-    )
+    """``doc_id, rep``: documents of equal signatures (by 128 bits of hash) form a class, named by its first document. Copies
+    go no further. The first is found by a partial aggregate, so a class of many copies meets in one row of each task."""
+    own = signatures.select("doc_id", F.xxhash64("sig").alias("h"), F.xxhash64(F.lit("second"), F.col("sig")).alias("m"))
+    return own.join(own.groupBy("h", "m").agg(F.min("doc_id").alias("rep")), ["h", "m"]).select("doc_id", "rep")
 
 
 def bands(signatures: DataFrame) -> DataFrame:
-    """``band, key, doc_id``: a key for each of 16 bands of 8 rows."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.array_join(F.slice("sig", b * ROWS + 1, ROWS).cast("array<string>"), ",")).alias("key")))
+    """``band, key, doc_id``: a key for each of 16 bands of 8 rows. Keys are hashes: an accident makes a candidate more, which
+    the similarity drops."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("sig", b * ROWS + 1, ROWS)).alias("key")))
     return signatures.select("doc_id", F.explode(keys).alias("k")).select("k.band", "k.key", "doc_id")
 
 
@@ -73,10 +74,12 @@ def similarity(a, b):
 def pairs(signatures: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     """``earlier, later, similarity`` over ``least`` between classes of equal signatures, each class by its first document.
 
-    Buckets hold only different signatures that share a band; AQE splits a bucket that is skewed.
+    Buckets hold only different signatures that share a band; AQE splits a bucket that is skewed. Signatures are made once and
+    kept by a checkpoint, as they are needed for the bands and on both sides of a pair.
     """
-    rep = classes(signatures).filter(F.col("doc_id") == F.col("rep")).select("doc_id")
-    own = signatures.join(rep, "doc_id", "left_semi")
+    checkpoint_folder(signatures.sparkSession)
+    hashed = signatures.withColumns({"h": F.xxhash64("sig"), "m": F.xxhash64(F.lit("second"), F.col("sig"))})
+    own = hashed.groupBy("h", "m").agg(F.min(F.struct("doc_id", "sig")).alias("first")).select("first.*").checkpoint()
     b = bands(own)
     met = b.join(b.withColumnRenamed("doc_id", "later"), ["band", "key"]).filter(F.col("doc_id") < F.col("later")).select(F.col("doc_id").alias("earlier"), "later").distinct()
     x = own.select(F.col("doc_id").alias("earlier"), F.col("sig").alias("sig_a"))
