@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import page_text as T
-from spindrift.llm.encoding import repair
+from spindrift.llm.encoding import LOST, repair
 from spindrift.llm.pages import once, per_row
 from spindrift.llm.templates import body, with_templates
 from spindrift.sources.tables import latest_documents
@@ -179,13 +179,38 @@ def declared(html_lang: str | None) -> str | None:
     return None if code in ("und", "mul", "zxx", "mis") else code
 
 
+#: words of a text with lost characters, and those of which nothing is left
+LOST_WORD = re.compile(f"(?:[^\\W\\d_]|{LOST})+")
+
+
+def all_lost(text: str) -> list[str]:
+    """The words of which nothing is left, if they are the most: then they were of the one language without Latin letters."""
+    words = LOST_WORD.findall(text) if LOST in text else []
+    gone = [w for w in words if w.strip(LOST) == ""]
+    return gone if sum(len(w) > 1 for w in gone) > len(words) - len(gone) else []
+
+
+def n_words(text: str) -> int:
+    """Runs of letters, without web addresses; a lost character within a word is a letter."""
+    text = T.URL.sub(" ", text) if "://" in text else text
+    if LOST not in text:
+        return len(LETTERS.findall(text))
+    return len(all_lost(text)) + sum(w.strip(LOST) != "" for w in LOST_WORD.findall(text))
+
+
+def read(text: str, model: CodeClassifiers) -> tuple[str | None, float]:
+    """:meth:`CodeClassifiers.decode`, also of a text of which most words are lost: those were Russian, as only their letters
+    all lie beyond ASCII."""
+    return ("ru", 1.0) if LOST in text and all_lost(text) else model.decode(text)
+
+
 def page_language(lines: list[str], model: CodeClassifiers) -> tuple[str | None, float]:
     """The language of most words of the lines, and their share weighted with the confidence."""
     votes: Counter = Counter()
     total = 0.0
     for line in lines:
-        language, p = model.decode(line)
-        n = len(LETTERS.findall(line))
+        language, p = read(line, model)
+        n = n_words(line)
         if language:
             votes[language] += n * p
             total += n
@@ -195,17 +220,13 @@ def page_language(lines: list[str], model: CodeClassifiers) -> tuple[str | None,
     return best, votes[best] / total
 
 
-def n_words(text: str) -> int:
-    return len(LETTERS.findall(T.URL.sub(" ", text) if "://" in text else text))
-
-
 def read_page(items: list[tuple[int, str, str | None]], known: set[int], model: CodeClassifiers) -> tuple[str | None, float, list[tuple[int, str, str | None, float]]]:
     """(language of the main body, confidence, (pos, text, language, confidence) of each passage with text)."""
     kept = body(items, known)
     own, p = page_language([s for _, left, _ in kept for s in left], model)
     if own is None:
         own, p = page_language([s for _, t, _ in items for s in T.lines(t)], model)
-    return own, p, [(pos, text, *model.decode(text)) for pos, t, _ in items if (text := T.repaired(t)).strip()]
+    return own, p, [(pos, text, *read(text, model)) for pos, t, _ in items if (text := T.repaired(t)).strip()]
 
 
 def _passes(passages: DataFrame, index: DataFrame) -> tuple[DataFrame, CodeClassifiers]:

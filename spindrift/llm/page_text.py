@@ -44,9 +44,20 @@ def key(line: str) -> str:
     return SPACES.sub("", DIGITS.sub("0", line.lower()))
 
 
-def lossy(line: str) -> str:
-    """A line's key without characters beyond ASCII: the same for a text that lost them."""
-    return re.sub("[^\x00-\x7f]+", "", key(line))
+BEYOND = re.compile("[^\x00-\x7f]+")
+
+
+def lossy(line: str) -> str | None:
+    """What is the same of a line and of the line with its characters beyond ASCII lost: the rest of it, or if that is little,
+    the lengths of what was lost, word by word (a lost character leaves one mark, or two where it had two bytes)."""
+    rest = BEYOND.sub("", key(line))
+    if sum(c.isalpha() for c in rest) >= 8:
+        return rest
+    runs = [len(r) for r in BEYOND.findall(line)]
+    if len(runs) < 2:
+        return None
+    half = 2 if LOST in line and all(n % 2 == 0 for n in runs) else 1
+    return SPACES.sub(" ", BEYOND.sub(lambda m: f"<{len(m.group()) // half}>", DIGITS.sub("0", line.lower())))
 
 
 def hashed(kind: str, text: str) -> int:
@@ -95,6 +106,7 @@ class Line(NamedTuple):
     title: bool
     ends: bool
     call: bool
+    clauses: int
 
 
 @lru_cache(1 << 13)
@@ -116,6 +128,7 @@ def line_of(line: str) -> Line:
         title=title_like(line, None),
         ends=ends,
         call=bool(CALL.search(line)),
+        clauses=sum(n for _, n in clause_sentences(line)),
     )
 
 
@@ -127,10 +140,12 @@ def is_sentence(line: str) -> bool:
 
 def clause_sentences(line: str) -> list[tuple[str, int]]:
     """(sentence, its characters if it is a clause) of a line. Clauses end with a stop and have four words, and the line has
-    the words clauses are made with; Russian does with few of them."""
+    the words clauses are made with; Russian does with few of them, and of a text that is lost only the stops can tell."""
     w = WORD.findall(line.lower())
-    clauses = sum(x in CLAUSE_WORDS for x in w) >= 0.08 * len(w) or CYRILLIC.search(line) is not None
-    return [(s, len(s) if clauses and ENDS.search(s) and len(WORD.findall(s)) >= 4 else 0) for s in SENTENCE.split(line)]
+    lost = LOST in line
+    clauses = sum(x in CLAUSE_WORDS for x in w) >= 0.08 * len(w) or lost or CYRILLIC.search(line) is not None
+    n_words = (lambda s: len(s.split())) if lost else (lambda s: len(WORD.findall(s)))
+    return [(s, len(s) if clauses and ENDS.search(s) and n_words(s) >= 4 else 0) for s in SENTENCE.split(line)]
 
 
 def title_cut(line: str) -> bool:

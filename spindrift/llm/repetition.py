@@ -23,6 +23,8 @@ MIN_WORDS = 20
 MIN_SHARE = 0.4
 #: documents the field is fitted on at most; they are those of the smallest hashes
 SAMPLE = 600
+#: only texts of up to so many characters are fitted on; all are measured whole
+SAMPLE_CHARS = 20_000
 #: the check is spared only where the field is this sure that nearly all is content
 CLEAR = 0.85
 CONTENT, BOILER = 0, 1
@@ -153,7 +155,7 @@ def repetition(documents: DataFrame) -> DataFrame:
     gives no rows; extra columns are ignored. Texts are read whole.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sample = docs.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE).select("text").collect()
+    sample = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE).select("text").collect()
     field = fit_field([r["text"] for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ from spindrift.llm.templates import body, with_templates
 MAX_CLAUSES = 0.5
 #: band about it where links and tags weigh
 DOUBT = 0.06
+#: words of a heading that is a title; a longer one is text
+TITLE_WORDS = 16
 #: from this share of its characters covered by repeats a sentence loses what they cover
 REPEATED = 0.6
 #: words of a repeated substring at least
@@ -38,7 +40,8 @@ def sentence_stats(lines: list[str]) -> tuple[int, float, int]:
         own += len(line)
         for s, n in T.clause_sentences(line):
             for w in (T.URL.sub(" ", s) if "://" in s else s).lower().split():
-                words.append(T.SIGNS.sub("", w) or w)
+                # words of which nothing is left are not known to be the same
+                words.append(T.SIGNS.sub("", w) or (f"{w}{len(words)}" if T.LOST in w else w))
                 owner.append(len(clause))
                 chars.append(len(w) + 1)
             clause.append(n)
@@ -71,9 +74,8 @@ def judged(passages: DataFrame, index: DataFrame, features: DataFrame) -> DataFr
     def run(row: dict) -> list[tuple]:
         items = once(row["items"])
         kept = body(items, set(row["known"] or ()))
-        titles = {pos for pos, text, ptype in items if ptype == "h" and "\n" not in text.strip()}
-        # a title is no clause in any page, and of a text that is lost nothing can be told
-        lines = [s for pos, left, _ in kept if pos not in titles for s in left if not T.line_of(s).lost]
+        titles = {pos for pos, text, ptype in items if ptype == "h" and "\n" not in text.strip() and len(text.split()) <= TITLE_WORDS}
+        lines = [s for pos, left, _ in kept if pos not in titles for s in left]  # a title is no clause in any page
         own, good, hit = sentence_stats(lines)
         return [(row["doc_id"], row["links"], row["tags"], own, good, hit, sum(len(T.WORD.findall(s)) for s in lines), [pos for pos, _, drop in kept if drop])]
 

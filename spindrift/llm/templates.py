@@ -17,85 +17,95 @@ from spindrift.llm.pages import gathered, once, per_row
 from spindrift.sources.tables import checkpoint_folder
 
 #: an element is of the template from so many pages of its host, and this share of them
-MIN_PAGES, MIN_SHARE = 4, 0.01
-#: or from so many pages of the crawl, and this share of them
+MIN_PAGES, MIN_SHARE = 4, 0.02
+#: an element is of every host's template that is of so many hosts'
+MIN_HOSTS = 2
+#: whole lines, labels, ends and heads of lists are of the template from so many pages of the crawl, and this share of them
 ALL_PAGES, ALL_SHARE = 6, 0.002
+#: pages with a smaller share of clauses do not count: their words are not a template for recurring
+VOTE = 0.25
 #: share of a heading's pages on which a list of titles follows it
 LIST_SHARE = 0.4
 #: share of a passage's letters that the template covers
 COVER = 0.5
 SALTS = 16
-LINE, PART, LABEL, TAIL, LOSSY, LIST, PAGE = "L", "S", "P", "E", "X", "T", "D"
 
 
-def line_elements(line: str) -> set[tuple[str, int]]:
-    x = T.line_of(line)
-    out = {(LINE, x.whole)} | {(PART, h) for h, _ in x.parts}
-    return out | {(k, h) for k, h in ((LABEL, x.label), (TAIL, x.tail), (LOSSY, x.lossy)) if h is not None}
-
-
-def page_elements(items: list[tuple[int, str, str | None]]) -> set[tuple[str, int, int]]:
-    """(kind, hash, hash of the title that follows a line that may head a list, else 0)."""
-    out: set[tuple[str, int, int]] = set()
+def page_elements(items: list[tuple[int, str, str | None]]) -> tuple[set[int], set[int], set[tuple[int, int]], bool]:
+    """Hashes of a page's elements: (whole lines, labels and ends; parts of lines; of each line that may head a list the line
+    and the title that follows it, else 0), and whether the page counts. The hash tells the kind of an element too."""
+    lines: set[int] = set()
+    parts: set[int] = set()
+    lists: set[tuple[int, int]] = set()
     before = None
+    chars = clauses = 0
     for _, text, ptype in items:
         for line in T.lines(text):
-            out |= {(k, h, 0) for k, h in line_elements(line)}
             x = T.line_of(line)
+            chars += len(line)
+            clauses += x.clauses
+            lines.update(h for h in (x.whole, x.label, x.tail) if h is not None)
+            parts.update(h for h, _ in x.parts)
+            if x.lossy is not None:
+                parts.add(x.lossy)
             if before is not None:
-                out.add((LIST, before, x.whole if x.title and ptype != "h" else 0))
+                lists.add((before, x.whole if x.title and ptype != "h" else 0))
             before = None if x.sentence else x.heading
     if before is not None:
-        out.add((LIST, before, 0))
-    return out
+        lists.add((before, 0))
+    return lines, parts, lists, clauses >= VOTE * chars
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """``site, doc_id, kind, h, follows``: each element of each page, and one row for the page itself; ``site`` is empty for
-    pages without one."""
+    """``pid, doc_id, site, lines, parts, lists, votes``: one row for each page (or chunk of a very long one) with the hashes of
+    its elements in arrays; ``site`` is a hash, null for pages without one, and ``pid`` a number for the row."""
 
     def run(row: dict) -> list[tuple]:
-        site, doc = row["site"] or "", row["doc_id"]
-        return [(site, doc, PAGE, 0, 0), *((site, doc, k, h, f) for k, h, f in page_elements(once(row["items"])))]
+        lines, parts, lists, votes = page_elements(once(row["items"]))
+        return [(row["doc_id"], row["site"], list(lines), list(parts), [{"h": h, "follows": f} for h, f in lists], votes)]
 
-    out = per_row(run, ["site", "doc_id", "kind", "h", "follows"], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()])
-    return pages.mapInArrow(out, "site string, doc_id string, kind string, h long, follows long")
+    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([("h", pa.int64()), ("follows", pa.int64())])), pa.bool_()]
+    slim = pages.select("doc_id", F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("site"), "items")
+    rows = slim.mapInArrow(per_row(run, ["doc_id", "site", "lines", "parts", "lists", "votes"], types), "doc_id string, site long, lines array<long>, parts array<long>, lists array<struct<h:long,follows:long>>, votes boolean")
+    return rows.withColumn("pid", F.monotonically_increasing_id())
 
 
-def templates(every: DataFrame) -> DataFrame:
-    """``site, kind, h`` of the elements that recur; those recurring in the whole crawl have a null site.
+def templates(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``site, h`` of the elements that recur in a host, ``h`` of those that recur in several hosts or the whole crawl).
 
-    A page gives an element once (chunks of one very long page count as pages), so the count per (site, element) is a partial
-    sum before the shuffle; the counts of the crawl are sums over sites. A line heads a list if the titles that follow it
-    differ from page to page.
+    A page gives an element once, so a count is a partial sum before its shuffle. A line heads a list if the titles that
+    follow it differ from page to page.
     """
-    count = every.filter(~F.col("kind").isin(LIST, PAGE)).groupBy("site", "kind", "h").agg(F.count("*").alias("n"))
-    own = every.filter(F.col("kind") == PAGE).groupBy("site").agg(F.count("*").alias("pages"))
-    host = count.filter((F.col("n") >= MIN_PAGES) & F.col("kind").isin(LINE, PART, LOSSY) & (F.col("site") != ""))
-    host = host.join(own, "site").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("site", "kind", "h")
-    lists = every.filter(F.col("kind") == LIST).groupBy("kind", "h", "follows").agg(F.count("*").alias("n"))
-    lists = lists.groupBy("kind", "h").agg(F.sum("n").alias("n"), F.count_if(F.col("follows") != 0).alias("titles"))
-    lists = lists.filter(F.col("titles") >= LIST_SHARE * F.col("n")).select("kind", "h", "n")
-    everywhere = count.groupBy("kind", "h").agg(F.sum("n").alias("n")).unionByName(lists).filter(F.col("n") >= ALL_PAGES)
-    total = own.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("total"))
-    everywhere = everywhere.crossJoin(F.broadcast(total)).filter(F.col("n") >= ALL_SHARE * F.col("total"))  # total has one row
-    return host.unionByName(everywhere.select(F.lit(None).cast("string").alias("site"), "kind", "h"))
+    voters = every.filter("votes")
+    own = voters.groupBy("site").agg(F.count("*").alias("pages"))
+    count = voters.select("site", F.explode(F.array_union("lines", "parts")).alias("h")).filter("site is not null").groupBy("site", "h").agg(F.count("*").alias("n"))
+    host = count.filter(F.col("n") >= MIN_PAGES).join(own, "site").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("site", "h")
+    shared = host.groupBy("h").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= MIN_HOSTS).select("h")
+    lists = voters.select(F.explode("lists").alias("x")).groupBy("x.h", "x.follows").agg(F.count("*").alias("n"))
+    lists = lists.groupBy("h").agg(F.sum("n").alias("n"), F.count_if(F.col("follows") != 0).alias("titles")).filter(F.col("titles") >= LIST_SHARE * F.col("n"))
+    whole = voters.select(F.explode("lines").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    total = own.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("total"))  # one row
+    often = whole.unionByName(lists.select("h", "n")).filter(F.col("n") >= ALL_PAGES).crossJoin(F.broadcast(total)).filter(F.col("n") >= ALL_SHARE * F.col("total"))
+    return host, often.select("h").unionByName(shared)
 
 
 def page_templates(pages: DataFrame) -> DataFrame:
     """``doc_id, known``: the template's elements on each page.
 
-    Elements are taken from the pages once and kept by a checkpoint, as they are counted and joined with their counts. The
-    template, far smaller than the elements, is repeated for each salt, so that a footer of a hot site is joined in several
-    tasks.
+    Elements are taken from the pages once and kept by a checkpoint of one short row for each page; what is shuffled are
+    numbers. The template, far smaller than the elements, is repeated for each salt, so that a footer of a hot site is joined
+    in several tasks.
     """
     checkpoint_folder(pages.sparkSession)
     every = elements(pages).checkpoint()
-    mine = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    often = templates(every).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    host = mine.join(often.filter("site is not null"), ["site", "kind", "h", "salt"], "left_semi")
-    everywhere = mine.join(often.filter("site is null").drop("site"), ["kind", "h", "salt"], "left_semi")
-    return host.select("doc_id", "h").unionByName(everywhere.select("doc_id", "h")).groupBy("doc_id").agg(F.collect_set("h").alias("known"))
+    host, everywhere = templates(every)
+    salt = F.pmod("pid", F.lit(SALTS)).cast("int").alias("salt")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_host = every.filter("site is not null").select("pid", "site", F.explode(F.array_union("lines", "parts")).alias("h"), salt).join(salted(host), ["site", "h", "salt"], "left_semi").select("pid", "h")
+    heads = F.transform("lists", lambda x: x["h"])
+    of_all = every.select("pid", F.explode(F.array_distinct(F.concat("lines", "parts", heads))).alias("h"), salt).join(salted(everywhere), ["h", "salt"], "left_semi").select("pid", "h")
+    known = of_host.unionByName(of_all).groupBy("pid").agg(F.collect_set("h").alias("known"))
+    return known.join(every.select("pid", "doc_id"), "pid").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("known"))).alias("known"))
 
 
 def with_templates(passages: DataFrame, index: DataFrame) -> DataFrame:
@@ -129,7 +139,7 @@ def body(items: list[tuple[int, str, str | None]], known: set[int]) -> list[tupl
             x = T.line_of(line)
             if line_share(x, known) >= COVER:
                 listing = listing or x.heading in known
-            elif not (listing and x.title and ptype != "h"):
+            elif not (listing and (x.title or (x.lost and not x.ends)) and ptype != "h"):
                 left.append(line)
                 listing = False
         out.append((pos, left, not left))

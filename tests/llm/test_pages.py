@@ -127,3 +127,30 @@ def test_lines():
     assert page_text.parts("Home | News · About") == ("Home", "News", "About")
     assert page_text.is_sentence("The ferry leaves the harbour.")
     assert not page_text.is_sentence("1. Notes on the old ferry")
+
+
+def test_lost_lines():
+    lost = lambda s, n: "".join("�" * n if c > "\x7f" else c for c in s)
+    for line in ("Читайте также", "Все права защищены 2020", "Recevez notre lettre chaque semaine dans votre boîte"):
+        assert page_text.lossy(line) is not None
+        assert page_text.lossy(lost(line, 1)) == page_text.lossy(lost(line, 2)) == page_text.lossy(line)
+    assert page_text.lossy("Читайте также") != page_text.lossy("Старый музей")
+
+
+def test_lost_words():
+    m = language.CodeClassifiers.fit([])
+    gone = "".join("�" if c > "\x7f" else c for c in TEXTS["ru"])
+    assert language.read(gone, m)[0] == "ru"
+    assert language.n_words(gone) == language.n_words(TEXTS["ru"])
+    some = "".join("�" if c > "\x7f" else c for c in TEXTS["fr"])
+    assert language.read(some, m)[0] == "fr"
+    assert language.n_words(some) == language.n_words(TEXTS["fr"])
+    assert language.n_words("Print � Save � Send") == 3
+
+
+def test_long_headings_are_text(spark):
+    rng = random.Random(6)
+    words = " • ".join(rng.choice(["cheap lamp", "best oven", "buy bread", "old stone", "warm river"]) for _ in range(60))
+    p = spark.createDataFrame([("s", 0, words, "h", None, None), ("t", 0, "A short title", "h", None, None), ("t", 1, " ".join(sentence(rng) for _ in range(3)), "b", None, None)], PASSAGES)
+    i, f = spark.createDataFrame([], IDX), spark.createDataFrame([], FEATURES)
+    assert [r["doc_id"] for r in spam.found(p, i, f).collect()] == ["s"]
