@@ -178,6 +178,13 @@ def q_quality_gate(spark, d):
     return rounded(rows.select("doc_id", "score", Q.skipped(c("score"), c("token_count")).alias("skipped")), "score")
 
 
+def q_page_priority(spark, d):
+    c = F.col
+    links = F.coalesce("url_count", F.lit(0))
+    score = crawl.page_priority(links, F.lit(0.0), c("unique_tokens").cast("double"), c("token_count"))
+    return rounded(gate_rows(spark, d).select("doc_id", score.alias("priority")), "priority")
+
+
 def q_shingles(spark, d):
     rows = index.passage_words(documents(spark, d)).select("doc_id", F.explode(X.shingles(F.col("words"))).alias("shingle"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("shingles"), F.min("shingle").alias("first"), F.max(neardup.shingle_hash(F.col("shingle"))).alias("most"))

@@ -190,6 +190,8 @@ def oracle_sql() -> dict[str, str]:
         "expand": """WITH p AS (SELECT src_doc_id, max(priority) AS parent, min(depth) AS d, 1 + ln(count(*) + 1.0) AS page FROM links GROUP BY src_doc_id)
             SELECT link_id, d + 1 AS depth, round(page * 2 * 3 / (d + 2.0) * pow(parent, 0.6), 6) AS priority FROM links JOIN p ON p.src_doc_id = links.src_doc_id WHERE same_domain""",
         "quality_gate": quality(),
+        "page_priority": f"""WITH {terms(ONCE)}, {STATS}, f AS (SELECT doc_id, coalesce(max(url_count), 0) AS n FROM crawl_features WHERE doc_id IS NOT NULL GROUP BY doc_id)
+            SELECT f.doc_id, round((1 + CASE WHEN n > 0 THEN ln(n + 1.0) ELSE 0 END) * unique_tokens / token_count, 6) AS priority FROM f JOIN stats ON stats.doc_id = f.doc_id""",
         "shingles": f"WITH {SHINGLES} SELECT doc_id, count(*) AS shingles, min(shingle) AS first, max({HASH.format(x='shingle')}) AS most FROM run WHERE shingle IS NOT NULL GROUP BY doc_id",
         "minhash": f"WITH {minhash()} SELECT doc_id, sig FROM sigs",
         "lsh_pairs": f"WITH {pairs()} SELECT earlier, later, similarity FROM scored WHERE similarity > 0.8",
