@@ -25,7 +25,8 @@ MIN_SHARE = 0.4
 SAMPLE = 600
 #: only texts of up to so many characters are fitted on; all are measured whole
 SAMPLE_CHARS = 20_000
-#: the check is spared only where the field is this sure that nearly all is content
+#: the check is spared only where the field is this sure that nearly all is content, and no segment has MIN_SHARE repeated: a
+#: document's share is the mean of its segments' by words, so none of MIN_SHARE is cleared
 CLEAR = 0.85
 CONTENT, BOILER = 0, 1
 FEATURES = 7
@@ -132,28 +133,27 @@ def fit_field(texts: list[str]) -> ChainField:
     return ChainField().fit(xs, ys)
 
 
-def measure(text: str | None, field: ChainField) -> tuple[int, float, float, float]:
-    """Words, share of repeated words, expected share of words in content, and the share by the Viterbi labels."""
+def measure(text: str | None, field: ChainField) -> tuple[int, float, float, float, float]:
+    """Words, share of repeated words, expected share of words in content, the share by the Viterbi labels, and the greatest
+    share of repeated words of a segment."""
     parts = segments(text or "")
     if not parts:
-        return 0, 0.0, 1.0, 1.0
+        return 0, 0.0, 1.0, 1.0, 0.0
     again = repeated([w for p in parts for w in p])
     n = np.array([len(p) for p in parts])
     x = features(parts, again)
     labels, p = field.viterbi(x), field.marginals(x)[0][:, CONTENT]
     total = n.sum()
-    return int(total), float(again.mean()), float((p * n).sum() / total), float(n[labels == CONTENT].sum() / total)
+    return int(total), float(again.mean()), float((p * n).sum() / total), float(n[labels == CONTENT].sum() / total), float(x[:, 1].max())
 
 
-SCHEMA = "doc_id long, n_words int, repeated_share double, content_expected double, content_share double"
+SCHEMA = "doc_id long, n_words int, repeated_share double, content_expected double, content_share double, most_repeated double"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+TYPES = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
 
 
-def repetition(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_words, repeated_share, content_expected, content_share`` of every row; one pass without a shuffle.
-
-    Null, empty and blank texts have 0 words, no repetition and content 1. Repeated rows are measured each; an empty table
-    gives no rows; extra columns are ignored. Texts are read whole.
-    """
+def measured(documents: DataFrame) -> DataFrame:
+    """The columns of :func:`repetition` and ``most_repeated``, the greatest repeated share of a segment."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sample = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE).select("text").collect()
     field = fit_field([r["text"] for r in sample])
@@ -161,13 +161,22 @@ def repetition(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [measure(t.as_py(), field) for t in b.column(1)]
-            n, r, e, c = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int32()), pa.array(r, pa.float64()), pa.array(e, pa.float64()), pa.array(c, pa.float64())], names=["doc_id", "n_words", "repeated_share", "content_expected", "content_share"])
+            cols = list(zip(*rows, strict=True)) or [()] * len(TYPES)
+            yield pa.record_batch([b.column(0), *(pa.array(c, t) for c, t in zip(cols, TYPES, strict=True))], names=NAMES)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def repetition(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_words, repeated_share, content_expected, content_share`` of every row; one pass without a shuffle.
+
+    Null, empty and blank texts have 0 words, no repetition and content 1. Repeated rows are measured each; an empty table
+    gives no rows; extra columns are ignored. Texts are read whole.
+    """
+    return measured(documents).drop("most_repeated")
+
+
 def found(documents: DataFrame) -> DataFrame:
-    """Documents the field does not clear as content, that the exact rule confirms."""
-    unclear = (F.col("content_expected") <= CLEAR) | (F.col("content_share") < 1)
-    return repetition(documents).filter(unclear & (F.col("n_words") >= MIN_WORDS) & (F.col("repeated_share") >= MIN_SHARE)).select("doc_id").distinct()
+    """Documents not cleared by the field and the bound together, that the exact rule confirms."""
+    unclear = (F.col("content_expected") <= CLEAR) | (F.col("content_share") < 1) | (F.col("most_repeated") >= MIN_SHARE)
+    return measured(documents).filter(unclear & (F.col("n_words") >= MIN_WORDS) & (F.col("repeated_share") >= MIN_SHARE)).select("doc_id").distinct()

@@ -186,6 +186,18 @@ def test_repetition_equals_the_rule(spark):
     assert repetition.found(df.limit(0)).count() == 0
 
 
+def test_no_case_is_cleared_by_a_sure_field(spark, monkeypatch):
+    emit = np.zeros((repetition.FEATURES, 2))
+    emit[0, repetition.CONTENT] = 20.0  # sure that all is content, whatever the text
+    monkeypatch.setattr(repetition, "fit_field", lambda texts: repetition.ChainField(emit))
+    head = " ".join(f"h{k}" for k in range(20))
+    long = " ".join(f"{head} {' '.join(f'w{i}x{k}' for k in range(28))}." for i in range(60))  # 59 of 60 sentences repeat 20 of 48 words
+    fresh = " ".join(f"n{k}" + "." * (k % 9 == 0) for k in range(300))
+    n, s = share(long)
+    assert n == 2880 and 0.4 <= s < 0.42
+    assert [r["doc_id"] for r in repetition.found(docs(spark, [fresh, long])).collect()] == [1]
+
+
 def test_field_learns_and_decodes():
     rng = np.random.default_rng(0)
     xs, ys = [], []
