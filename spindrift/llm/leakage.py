@@ -3,7 +3,8 @@
 Rare word n-grams of the test items are the seeds that join documents to items; a seed hit is scored by a Smith-Waterman
 alignment of the item with the document's words about the hit, and an alignment that scores enough is checked exactly.
 
-Seeds of five words find every case: of 15 words at most two are replaced, which leaves a run of five whole. Seeds that stand
+Seeds of four words find every case: without a run of four, m replaced words leave at most 3 (m + 1) others, so a stretch of
+L words has L <= 4 m + 3, which with m <= L / 6 holds only up to 7 words, and a stretch has 15. Seeds that stand
 in many items (phrases of the instructions) are common; a hit of one only counts if the words about it, on the same diagonal,
 hold a qualifying stretch, which is tested before any alignment, so that common seeds lose nothing and cost little.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-SEED = 5
+SEED = 4
 MIN_WORDS = 15
 #: one word in so many may be replaced
 ONE_IN = 6

@@ -145,6 +145,19 @@ def test_common_seeds_lose_nothing(spark):
     assert [tuple(r) for r in leakage.found(docs(spark, [text]), bench).collect()] == [(0, 3)]
 
 
+@pytest.mark.parametrize("runs", [(4, 4, 4, 3), (3, 4, 4, 4), (4, 4, 4, 4), (4, 4, 4, 4, 4)])
+def test_stretches_without_a_run_of_five_are_found(spark, runs):
+    size = sum(runs) + len(runs) - 1  # 18, 18, 19 and 24 words, of which 3 or 4 are replaced
+    item = " ".join(f"q{k}" for k in range(size))
+    at = set(np.cumsum([n + 1 for n in runs[:-1]]) - 1)
+    text = "before it " + " ".join(f"zeal{k}" if k in at else f"q{k}" for k in range(size)) + " and after"
+    assert brute(text, item)
+    bench = spark.createDataFrame([(3, item)], "item_id long, text string")
+    df = docs(spark, [text])
+    assert [(r["doc_id"], r["item_id"], r["n_words"]) for r in leakage.leaks(df, bench).collect()] == [(0, 3, size)]
+    assert [(r["doc_id"], r["item_id"], r["n_words"]) for r in leakage.by_shuffle(df.select("doc_id", "text"), bench).collect()] == [(0, 3, size)]
+
+
 def test_smith_waterman():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 2, 8, 3, 4, 5])
     assert leakage.smith_waterman(a, a) == 5
