@@ -7,6 +7,8 @@ Site lines do not count as a page's own. Links and tags of the crawl features we
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +27,14 @@ DOUBT = 0.06
 TITLE_WORDS = 16
 #: from this share of its characters covered by repeats a sentence loses what they cover
 REPEATED = 0.6
-#: words of a repeated substring at least
-LEAST = 3
-#: words of one automaton; a longer page has several, or all its short runs of words would recur
-BLOCK = 600
+#: words of a repeated substring at least, in a page of up to so many words; a page of twice as many asks for one more
+LEAST, LEAST_UP_TO = 3, 600
+
+
+def least(n: int) -> int:
+    """Words of a repeated substring at least in a page of n words. The places a run can recur at by chance grow with the page;
+    a recurring run goes on for one more word by chance at most half of the time, which evens out one doubling."""
+    return LEAST + max(0, math.ceil(math.log2(max(1, n) / LEAST_UP_TO)))
 
 
 def sentence_stats(lines: list[str]) -> tuple[int, float, int]:
@@ -46,9 +52,7 @@ def sentence_stats(lines: list[str]) -> tuple[int, float, int]:
                 chars.append(len(w) + 1)
             clause.append(n)
     total, hit = [0] * len(clause), [0] * len(clause)
-    blocks = max(1, -(-len(words) // BLOCK))
-    ends = [len(words) * k // blocks for k in range(blocks + 1)]
-    covered = [c for a, b in zip(ends[:-1], ends[1:], strict=True) for c in SuffixAutomaton(words[a:b]).covered(LEAST)]
+    covered = SuffixAutomaton(words).covered(least(len(words)))
     for o, n, c in zip(owner, chars, covered, strict=True):
         total[o] += n
         if c:

@@ -72,6 +72,19 @@ def test_main_bodies(crawl):
     assert found == {k for k, v in want.items() if v}
 
 
+def test_long_repeated_runs_are_spam(spark):
+    rng = random.Random(9)
+    run = [s.split() for s in (" ".join(f"{rng.choice(ADJ)}{k}{w}" if w % 3 else "the" for w in range(14)) for k in range(50))]
+    run = [f"{' '.join(w)}." for w in run]  # 50 sentences, 700 words, of which only single words recur
+    assert sum(len(s.split()) for s in run) == 700
+    clean = [f"The {rng.choice(ADJ)} {k}th word{k} and the {rng.choice(NOUNS)} of place{k} {rng.choice(VERBS)} it{k}." for k in range(400)]
+    rows = [("r", k, " ".join(run), "b", None, None) for k in range(4)] + [("c", k, t, "b", None, None) for k, t in enumerate(clean)]
+    own, good, hit = spam.sentence_stats([t for d, _, t, *_ in rows if d == "r"])
+    assert good == 0 and hit > 0.99 * own
+    i, f = spark.createDataFrame([], IDX), spark.createDataFrame([], FEATURES)
+    assert [r["doc_id"] for r in spam.found(spark.createDataFrame(rows, PASSAGES), i, f).collect()] == ["r"]
+
+
 def test_nothing(spark):
     p, i, f = (spark.createDataFrame([], s) for s in (PASSAGES, IDX, FEATURES))
     assert spam.found(p, i, f).count() == 0
