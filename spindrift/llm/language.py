@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spindrift.llm import page_text as T
 from spindrift.llm.encoding import LOST, repair
@@ -27,6 +28,8 @@ LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru")
 #: labelled pages of each language that the classifiers are fitted on at most, those of the smallest hashes; of each page
 #: the passages and of each passage the characters that are fitted on at most. Only the fit is bounded so.
 SAMPLE, SAMPLE_PASSAGES, SAMPLE_CHARS = 120, 24, 500
+#: the languages in the order of votes; of equal votes the first wins
+ORDER = tuple(sorted(LANGUAGES))
 DIMENSIONS = 1 << 15
 #: words of a passage that can be a case
 MIN_WORDS = 5
@@ -204,35 +207,24 @@ def read(text: str, model: CodeClassifiers) -> tuple[str | None, float]:
     return ("ru", 1.0) if LOST in text and all_lost(text) else model.decode(text)
 
 
-def page_language(lines: list[str], model: CodeClassifiers) -> tuple[str | None, float]:
-    """The language of most words of the lines, and their share weighted with the confidence."""
-    votes: Counter = Counter()
-    total = 0.0
+def page_votes(lines: list[str], model: CodeClassifiers) -> tuple[list[float], float]:
+    """Words of the lines in each language (of ``ORDER``) weighted with the confidence, and the words that tell one."""
+    votes, total = [0.0] * len(ORDER), 0.0
     for line in lines:
         language, p = read(line, model)
         n = n_words(line)
         if language:
-            votes[language] += n * p
+            votes[ORDER.index(language)] += n * p
             total += n
-    if not votes:
-        return None, 0.0
-    best = max(sorted(votes), key=votes.__getitem__)
-    return best, votes[best] / total
+    return votes, total
 
 
-def read_page(items: list[tuple[int, str, str | None]], known: set[int], model: CodeClassifiers) -> tuple[str | None, float, list[tuple[int, str, str | None, float]]]:
-    """(language of the main body, confidence, (pos, text, language, confidence) of each passage with text)."""
-    kept = body(items, known)
-    own, p = page_language([s for _, left, _ in kept for s in left], model)
-    if own is None:
-        own, p = page_language([s for _, t, _ in items for s in T.lines(t)], model)
-    return own, p, [(pos, text, *read(text, model)) for pos, t, _ in items if (text := T.repaired(t)).strip()]
-
-
-def _passes(passages: DataFrame, index: DataFrame) -> tuple[DataFrame, CodeClassifiers]:
-    """Pages with their templates and label, and the classifiers."""
-    labels = latest_documents(index).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("html_lang"), F.lit(True).alias("listed"))
-    return with_templates(passages, index).join(labels, "doc_id", "left"), fit_classifiers(passages, index)
+def read_chunk(items: list[tuple[int, str, str | None]], known: set[int], model: CodeClassifiers) -> tuple[tuple[list[float], float], tuple[list[float], float], list[tuple[int, str, str | None, float]]]:
+    """(votes of the main body; of all lines, where the main body has none; (pos, text, language, confidence) of each passage
+    with text)."""
+    own = page_votes([s for _, left, _ in body(items, known) for s in left], model)
+    rest = ([0.0] * len(ORDER), 0.0) if own[1] else page_votes([s for _, t, _ in items for s in T.lines(t)], model)
+    return own, rest, [(pos, text, *read(text, model)) for pos, t, _ in items if (text := T.repaired(t)).strip()]
 
 
 def segments(text: str, model: CodeClassifiers) -> list[dict] | None:
@@ -242,7 +234,34 @@ def segments(text: str, model: CodeClassifiers) -> list[dict] | None:
     return [{"segment": s, "lang": x, "confidence": c} for s, x, c in parts] if mixed else None
 
 
-SCHEMA = "doc_id string, pos int, lang string, confidence double, page_lang string, words int, segments array<struct<segment:string,lang:string,confidence:double>>"
+SEGMENTS = pa.list_(pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())]))
+READ = pa.list_(pa.struct([("pos", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("segments", SEGMENTS)]))
+NAMES = ["doc_id", "chunk", "listed", "label", "votes", "total", "rest", "rest_total", "read"]
+TYPES = [pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.float64(), READ]
+SCHEMA = """doc_id string, chunk long, listed boolean, label string, votes array<double>, total double, rest array<double>, rest_total double,
+    read array<struct<pos:int,lang:string,confidence:double,words:int,segments:array<struct<segment:string,lang:string,confidence:double>>>>"""
+
+
+def read_pages(passages: DataFrame, index: DataFrame, mixed: bool) -> DataFrame:
+    """``doc_id, own, share, first, listed, label, read``: a row for each chunk of a page; ``own`` and ``share``, its language
+    and that one's share of the votes, are those of the whole page, whose chunks' votes are summed. ``first`` marks one chunk of
+    each page. ``read`` has the passages with text, with their segments only if ``mixed``."""
+    labels = latest_documents(index).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("html_lang"), F.lit(True).alias("listed"))
+    pages, model = with_templates(passages, index).join(labels, "doc_id", "left"), fit_classifiers(passages, index)
+
+    def run(row: dict) -> list[tuple]:
+        own, rest, read = read_chunk(once(row["items"]), set(row["known"] or ()), model)
+        out = [{"pos": pos, "lang": x, "confidence": c, "words": n_words(text), "segments": segments(text, model) if mixed and len(text) > 40 else None} for pos, text, x, c in read]
+        return [(row["doc_id"], row["chunk"], bool(row["listed"]), declared(row["html_lang"]), *own, *rest, out)]
+
+    page = Window.partitionBy("doc_id")
+    summed = lambda c: F.array(*[F.sum(F.get(c, F.lit(k))).over(page) for k in range(len(ORDER))])
+    rows = pages.mapInArrow(per_row(run, NAMES, TYPES), SCHEMA)
+    rows = rows.withColumns({"votes": summed("votes"), "rest": summed("rest"), "total": F.sum("total").over(page), "rest_total": F.sum("rest_total").over(page), "first": F.col("chunk") == F.min("chunk").over(page)})
+    rows = rows.withColumns({"votes": F.when(F.col("total") > 0, F.col("votes")).otherwise(F.col("rest")), "total": F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("rest_total"))})
+    most = F.array_max("votes")
+    own = F.when(F.col("total") > 0, F.get(F.array(*map(F.lit, ORDER)), F.array_position("votes", most).cast("int") - 1))
+    return rows.select("doc_id", own.alias("own"), F.when(F.col("total") > 0, most / F.col("total")).otherwise(0.0).alias("share"), "first", "listed", "label", "read")
 
 
 def languages(passages: DataFrame, index: DataFrame) -> DataFrame:
@@ -252,29 +271,19 @@ def languages(passages: DataFrame, index: DataFrame) -> DataFrame:
     Null and empty passages have no row; a text that tells nothing has a null language and confidence 0. Repeated passages
     count once, empty tables give no rows, extra columns are ignored. A garbled passage is read as it was written.
     """
-    pages, model = _passes(passages, index)
-
-    def run(row: dict) -> list[tuple]:
-        own, p, read = read_page(once(row["items"]), set(row["known"] or ()), model)
-        out = [(row["doc_id"], -1 - row["chunk"], own, p, own, 0, None)]
-        return out + [(row["doc_id"], pos, x, c, own, n_words(text), segments(text, model) if len(text) > 40 else None) for pos, text, x, c in read]
-
-    names = ["doc_id", "pos", "lang", "confidence", "page_lang", "words", "segments"]
-    types = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.list_(pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())]))]
-    return pages.mapInArrow(per_row(run, names, types), SCHEMA)
+    rows = read_pages(passages, index, True)
+    fields = ["pos", "lang", "confidence", "words", "segments"]
+    page = rows.filter("first").select("doc_id", F.lit(-1).alias("pos"), F.col("own").alias("lang"), F.col("share").alias("confidence"), F.lit(0).alias("words"), F.lit(None).alias("segments"), F.col("own").alias("page_lang"))
+    each = rows.select("doc_id", "own", F.explode("read").alias("r")).select("doc_id", *[f"r.{c}" for c in fields], F.col("own").alias("page_lang"))
+    return each.unionByName(page).select("doc_id", "pos", "lang", "confidence", "page_lang", "words", "segments")
 
 
 def found(passages: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, pos, lang``: pages (pos -1) whose label is null, no language or another than that of the main body, and
-    passages of five words or more in another language than it. A very long page is judged by its first chunk; a page without
-    a row in the index has no label to judge."""
-    pages, model = _passes(passages, index)
-
-    def run(row: dict) -> list[tuple]:
-        own, _, read = read_page(once(row["items"]), set(row["known"] or ()), model)
-        if own is None:
-            return []
-        out = [(row["doc_id"], -1, own)] if row["chunk"] == 0 and row["listed"] and declared(row["html_lang"]) != own else []
-        return out + [(row["doc_id"], pos, x) for pos, text, x, c in read if x not in (None, own) and c >= AMBIGUOUS and n_words(text) >= MIN_WORDS]
-
-    return pages.mapInArrow(per_row(run, ["doc_id", "pos", "lang"], [pa.string(), pa.int32(), pa.string()]), "doc_id string, pos int, lang string")
+    passages of five words or more in another language than it. The main body is the whole page's; a page without a row in the
+    index has no label to judge."""
+    rows = read_pages(passages, index, False).filter("own is not null")
+    page = F.when(F.col("first") & F.col("listed") & ~F.col("own").eqNullSafe(F.col("label")), F.array(F.struct(F.lit(-1).alias("pos"), F.col("own").alias("lang"))))
+    case = lambda r: (r["lang"] != F.col("own")) & (r["confidence"] >= AMBIGUOUS) & (r["words"] >= MIN_WORDS)
+    cases = F.transform(F.filter("read", case), lambda r: F.struct(r["pos"].alias("pos"), r["lang"].alias("lang")))
+    return rows.select("doc_id", F.explode(F.concat(F.coalesce(page, F.array().cast("array<struct<pos:int,lang:string>>")), cases)).alias("x")).select("doc_id", "x.pos", "x.lang")

@@ -135,6 +135,17 @@ def test_languages_of_pages_and_passages(spark):
     assert got == {("l_bad", -1, "de"), ("p_de", -1, "de"), ("p_null", -1, "fr"), ("p_en", 7, "it"), ("p_de", 9, "ru")}
 
 
+def test_a_long_page_has_one_language(spark):
+    rows = [("big", pos, TEXTS["en"], "b", None, None) for pos in range(60)] + [("big", 4096 + k, TEXTS["de"], "b", None, None) for k in range(20)] + [("big", 4116 + k, TEXTS["en"], "b", None, None) for k in range(4)]
+    rows += [(f"l_{x}_{k}", 0, f"{t} {t}", "b", None, None) for x, t in TEXTS.items() for k in range(2)]
+    idx = spark.createDataFrame([(f"l_{x}_{k}", None, 1, x, None) for x in TEXTS for k in range(2)] + [("big", None, 1, "fr", None)], IDX)
+    p = spark.createDataFrame(rows, PASSAGES)
+    assert {tuple(r) for r in language.found(p, idx).collect()} == {("big", -1, "en")} | {("big", 4096 + k, "de") for k in range(20)}
+    every = [r for r in language.languages(p, idx).collect() if r["doc_id"] == "big"]
+    assert [r["lang"] for r in every if r["pos"] < 0] == ["en"] and {r["page_lang"] for r in every} == {"en"}
+    assert len(every) == 85
+
+
 def test_lines():
     assert page_text.key(" A b 12 ") == "ab0"
     assert page_text.parts("Home | News · About") == ("Home", "News", "About")
