@@ -35,7 +35,7 @@ DIMENSIONS = 1 << 15
 MIN_WORDS = 5
 #: confidence from which the fit on common words counts as agreeing with a label
 AGREED = 0.8
-#: a decision under this confidence is ambiguous
+#: a decision under this confidence is flagged as ambiguous; it is a case all the same
 AMBIGUOUS = 0.95
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -265,8 +265,9 @@ def read_pages(passages: DataFrame, index: DataFrame, mixed: bool) -> DataFrame:
 
 
 def languages(passages: DataFrame, index: DataFrame) -> DataFrame:
-    """``doc_id, pos, lang, confidence, page_lang, words, segments``: one row for each page, with ``pos`` -1 and the language
-    of its main body, and one for each passage with text; ``segments`` has the sentences of a passage that mixes languages.
+    """``doc_id, pos, lang, confidence, page_lang, words, segments, ambiguous``: one row for each page, with ``pos`` -1 and the
+    language of its main body, and one for each passage with text; ``segments`` has the sentences of a passage that mixes
+    languages, ``ambiguous`` flags a decision under ``AMBIGUOUS``.
 
     Null and empty passages have no row; a text that tells nothing has a null language and confidence 0. Repeated passages
     count once, empty tables give no rows, extra columns are ignored. A garbled passage is read as it was written.
@@ -275,15 +276,15 @@ def languages(passages: DataFrame, index: DataFrame) -> DataFrame:
     fields = ["pos", "lang", "confidence", "words", "segments"]
     page = rows.filter("first").select("doc_id", F.lit(-1).alias("pos"), F.col("own").alias("lang"), F.col("share").alias("confidence"), F.lit(0).alias("words"), F.lit(None).alias("segments"), F.col("own").alias("page_lang"))
     each = rows.select("doc_id", "own", F.explode("read").alias("r")).select("doc_id", *[f"r.{c}" for c in fields], F.col("own").alias("page_lang"))
-    return each.unionByName(page).select("doc_id", "pos", "lang", "confidence", "page_lang", "words", "segments")
+    return each.unionByName(page).select("doc_id", "pos", "lang", "confidence", "page_lang", "words", "segments", (F.col("confidence") < AMBIGUOUS).alias("ambiguous"))
 
 
 def found(passages: DataFrame, index: DataFrame) -> DataFrame:
     """``doc_id, pos, lang``: pages (pos -1) whose label is null, no language or another than that of the main body, and
-    passages of five words or more in another language than it. The main body is the whole page's; a page without a row in the
+    passages of five words or more in another language than it, ambiguous ones too. The main body is the whole page's; a page without a row in the
     index has no label to judge."""
     rows = read_pages(passages, index, False).filter("own is not null")
     page = F.when(F.col("first") & F.col("listed") & ~F.col("own").eqNullSafe(F.col("label")), F.array(F.struct(F.lit(-1).alias("pos"), F.col("own").alias("lang"))))
-    case = lambda r: (r["lang"] != F.col("own")) & (r["confidence"] >= AMBIGUOUS) & (r["words"] >= MIN_WORDS)
+    case = lambda r: (r["lang"] != F.col("own")) & (r["words"] >= MIN_WORDS)
     cases = F.transform(F.filter("read", case), lambda r: F.struct(r["pos"].alias("pos"), r["lang"].alias("lang")))
     return rows.select("doc_id", F.explode(F.concat(F.coalesce(page, F.array().cast("array<struct<pos:int,lang:string>>")), cases)).alias("x")).select("doc_id", "x.pos", "x.lang")

@@ -135,6 +135,15 @@ def test_languages_of_pages_and_passages(spark):
     assert got == {("l_bad", -1, "de"), ("p_de", -1, "de"), ("p_null", -1, "fr"), ("p_en", 7, "it"), ("p_de", 9, "ru")}
 
 
+def test_ambiguous_passages_are_cases(spark):
+    rows = [("p", pos, TEXTS["en"], "b", None, None) for pos in range(5)] + [("p", 5, "Gatos pequenos dormem embaixo da janela", "b", None, None), ("p", 6, "Zonas verdes para perros pequeños", "b", None, None)]
+    rows += [(f"l_{x}_{k}", 0, f"{t} {t}", "b", None, None) for x, t in TEXTS.items() for k in range(2)]
+    idx = spark.createDataFrame([(f"l_{x}_{k}", None, 1, x, None) for x in TEXTS for k in range(2)] + [("p", None, 1, "en", None)], IDX)
+    p = spark.createDataFrame(rows, PASSAGES)
+    assert {tuple(r) for r in language.found(p, idx).collect()} == {("p", 5, "pt"), ("p", 6, "es")}
+    assert {r["pos"] for r in language.languages(p, idx).filter("doc_id = 'p' and pos >= 0 and ambiguous").collect()} == {5, 6}
+
+
 def test_a_long_page_has_one_language(spark):
     rows = [("big", pos, TEXTS["en"], "b", None, None) for pos in range(60)] + [("big", 4096 + k, TEXTS["de"], "b", None, None) for k in range(20)] + [("big", 4116 + k, TEXTS["en"], "b", None, None) for k in range(4)]
     rows += [(f"l_{x}_{k}", 0, f"{t} {t}", "b", None, None) for x, t in TEXTS.items() for k in range(2)]
