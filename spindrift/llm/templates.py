@@ -31,9 +31,9 @@ COVER = 0.5
 SALTS = 16
 
 
-def page_elements(items: list[tuple[int, str, str | None]]) -> tuple[set[int], set[int], set[tuple[int, int]], bool]:
+def page_elements(items: list[tuple[int, str, str | None]]) -> tuple[set[int], set[int], set[tuple[int, int]], int, int]:
     """Hashes of a page's elements: (whole lines, labels and ends; parts of lines; of each line that may head a list the line
-    and the title that follows it, else 0), and whether the page counts. The hash tells the kind of an element too."""
+    and the title that follows it, else 0), its characters and those of clauses. The hash tells the kind of an element too."""
     lines: set[int] = set()
     parts: set[int] = set()
     lists: set[tuple[int, int]] = set()
@@ -53,37 +53,47 @@ def page_elements(items: list[tuple[int, str, str | None]]) -> tuple[set[int], s
             before = None if x.sentence else x.heading
     if before is not None:
         lists.add((before, 0))
-    return lines, parts, lists, clauses >= VOTE * chars
+    return lines, parts, lists, chars, clauses
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """``pid, doc_id, site, lines, parts, lists, votes``: one row for each page (or chunk of a very long one) with the hashes of
-    its elements in arrays; ``site`` is a hash, null for pages without one, and ``pid`` a number for the row."""
+    """``pid, doc_id, site, lines, parts, lists, chars, clauses``: one row for each page (or chunk of a very long one) with the
+    hashes of its elements in arrays; ``site`` is a hash, null for pages without one, and ``pid`` a number for the row."""
 
     def run(row: dict) -> list[tuple]:
-        lines, parts, lists, votes = page_elements(once(row["items"]))
-        return [(row["doc_id"], row["site"], list(lines), list(parts), [{"h": h, "follows": f} for h, f in lists], votes)]
+        lines, parts, lists, chars, clauses = page_elements(once(row["items"]))
+        return [(row["doc_id"], row["site"], list(lines), list(parts), [{"h": h, "follows": f} for h, f in lists], chars, clauses)]
 
-    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([("h", pa.int64()), ("follows", pa.int64())])), pa.bool_()]
+    types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.struct([("h", pa.int64()), ("follows", pa.int64())])), pa.int64(), pa.int64()]
     slim = pages.select("doc_id", F.when(F.col("site").isNotNull(), F.xxhash64("site")).alias("site"), "items")
-    rows = slim.mapInArrow(per_row(run, ["doc_id", "site", "lines", "parts", "lists", "votes"], types), "doc_id string, site long, lines array<long>, parts array<long>, lists array<struct<h:long,follows:long>>, votes boolean")
+    rows = slim.mapInArrow(per_row(run, ["doc_id", "site", "lines", "parts", "lists", "chars", "clauses"], types), "doc_id string, site long, lines array<long>, parts array<long>, lists array<struct<h:long,follows:long>>, chars long, clauses long")
     return rows.withColumn("pid", F.monotonically_increasing_id())
 
 
 def templates(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``site, h`` of the elements that recur in a host, ``h`` of those that recur in several hosts or the whole crawl).
 
-    A page gives an element once, so a count is a partial sum before its shuffle. A line heads a list if the titles that
-    follow it differ from page to page.
+    A page gives an element once, so a count is a partial sum before its shuffle; a page of several chunks is judged as a whole
+    and its elements are made distinct first. A line heads a list if the titles that follow it differ from page to page.
     """
-    voters = every.filter("votes")
-    own = voters.groupBy("site").agg(F.count("*").alias("pages"))
-    count = voters.select("site", F.explode(F.array_union("lines", "parts")).alias("h")).filter("site is not null").groupBy("site", "h").agg(F.count("*").alias("n"))
+    enough = lambda chars, clauses: clauses >= VOTE * chars
+    # pages of several chunks, which have positions of 4096 and more: few beside the passages
+    several = every.groupBy("doc_id").agg(F.count("*").alias("chunks"), enough(F.sum("chars"), F.sum("clauses")).alias("whole_votes")).filter("chunks > 1").select("doc_id", "whole_votes")
+    marked = every.join(F.broadcast(several), "doc_id", "left")
+    short = marked.filter(F.col("whole_votes").isNull() & enough(F.col("chars"), F.col("clauses")))
+    long = marked.filter("whole_votes")
+
+    def of_pages(*columns) -> DataFrame:
+        """The columns once for each page."""
+        return short.select(*columns).unionByName(long.select("doc_id", *columns).distinct().drop("doc_id"))
+
+    own = of_pages("site").groupBy("site").agg(F.count("*").alias("pages"))
+    count = of_pages("site", F.explode(F.array_union("lines", "parts")).alias("h")).filter("site is not null").groupBy("site", "h").agg(F.count("*").alias("n"))
     host = count.filter(F.col("n") >= MIN_PAGES).join(own, "site").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("site", "h")
     shared = host.groupBy("h").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= MIN_HOSTS).select("h")
-    lists = voters.select(F.explode("lists").alias("x")).groupBy("x.h", "x.follows").agg(F.count("*").alias("n"))
+    lists = of_pages(F.explode("lists").alias("x")).groupBy("x.h", "x.follows").agg(F.count("*").alias("n"))
     lists = lists.groupBy("h").agg(F.sum("n").alias("n"), F.count_if(F.col("follows") != 0).alias("titles")).filter(F.col("titles") >= LIST_SHARE * F.col("n"))
-    whole = voters.select(F.explode("lines").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    whole = of_pages(F.explode("lines").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     total = own.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("total"))  # one row
     often = whole.unionByName(lists.select("h", "n")).filter(F.col("n") >= ALL_PAGES).crossJoin(F.broadcast(total)).filter(F.col("n") >= ALL_SHARE * F.col("total"))
     return host, often.select("h").unionByName(shared)

@@ -85,6 +85,17 @@ def test_long_repeated_runs_are_spam(spark):
     assert [r["doc_id"] for r in spam.found(spark.createDataFrame(rows, PASSAGES), i, f).collect()] == ["r"]
 
 
+def test_lines_of_one_long_page_are_no_template(spark):
+    rng = random.Random(11)
+    again = "The patient oven of the harbour keeps a warm lamp and counts the early boats."
+    rows = [("big", 4096 * k, again, "b", None, None) for k in range(7)] + [("big", 4096 * k + 1, sentence(rng), "b", None, None) for k in range(7)]
+    rows += [(f"d{k}", 0, "Read our weekly letter here.", "b", None, None) for k in range(6)] + [(f"d{k}", 1, sentence(rng), "b", None, None) for k in range(6)]
+    idx = spark.createDataFrame([(d, f"https://a.example/{d}", 1, "en", None) for d in ("big", *(f"d{k}" for k in range(6)))], IDX)
+    p = spark.createDataFrame(rows, PASSAGES)
+    got = {(r["doc_id"], r["pos"]) for r in templates.main_bodies(p, idx).filter("boilerplate").collect()}
+    assert got == {(f"d{k}", 0) for k in range(6)}
+
+
 def test_nothing(spark):
     p, i, f = (spark.createDataFrame([], s) for s in (PASSAGES, IDX, FEATURES))
     assert spam.found(p, i, f).count() == 0
