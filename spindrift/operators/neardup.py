@@ -13,7 +13,6 @@ from spindrift.sources.tables import checkpoint_folder
 
 PERMUTATIONS, BANDS, ROWS = 128, 16, 8
 PRIME = (1 << 31) - 1
-MAX_WORDS = 5000
 MIN_SIMILARITY = 0.8
 
 
@@ -46,10 +45,9 @@ def minhash(hashes: pd.Series) -> pd.Series:
 
 
 def signatures(words: DataFrame) -> DataFrame:
-    """``doc_id, sig`` of documents with more than four words; ``words`` has ``doc_id, words``. The first 5000 words count, as
-    the original operator defines it."""
-    cut = words.filter(F.size("words") > 4).select("doc_id", F.slice("words", 1, MAX_WORDS).alias("w"))
-    return cut.select("doc_id", minhash(F.transform(X.shingles(F.col("w")), shingle_hash)).alias("sig"))
+    """``doc_id, sig`` of documents with more than four words; ``words`` has ``doc_id, words``. All words count; the original
+    operator stops at 5000."""
+    return words.filter(F.size("words") > 4).select("doc_id", minhash(F.transform(X.shingles(F.col("words")), shingle_hash)).alias("sig"))
 
 
 def classes(signatures: DataFrame) -> DataFrame:

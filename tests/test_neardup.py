@@ -32,6 +32,13 @@ def test_minhash_estimates_overlap(spark):
     assert 0.8 < np.mean(np.array(s[1]) == np.array(s[2])) < 1
 
 
+def test_words_after_5000_count(spark):
+    head = [f"w{i}" for i in range(5000)]
+    rows = [(1, head), (2, head + [f"x{i}" for i in range(5000)])]
+    s = {r["doc_id"]: r["sig"] for r in N.signatures(spark.createDataFrame(rows, "doc_id int, words array<string>")).collect()}
+    assert 0.3 < np.mean(np.array(s[1]) == np.array(s[2])) < 0.7  # half of the shingles are shared
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, sig array<int>")
     assert N.pairs(none).count() == 0
