@@ -59,6 +59,17 @@ def tables(page: str) -> tuple[str, re.Pattern]:
     return page, re.compile(f"(?:{one})+")
 
 
+#: two characters beyond ASCII side by side, overlapping ones too
+SIDE_BY_SIDE = re.compile("(?=([^\x00-\x7f]{2}))")
+
+
+@lru_cache(1 << 16)
+def pages_of(pair: str) -> frozenset[str]:
+    """The code pages in which two characters may begin a multibyte span: a lead byte and one that continues it."""
+    byte = lambda page, c: byte_map(page).get(c, 0)
+    return frozenset(page for page in PAGES if 0xC2 <= byte(page, pair[0]) <= 0xF4 and 0x80 <= byte(page, pair[1]) <= 0xBF)
+
+
 #: closing marks that may rightly follow a letter which reads as a lead byte
 CLOSING = set("»”’›“\"'…–—")
 
@@ -225,7 +236,10 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
     for _ in range(ROUNDS):
         best: list[tuple[int, int, str]] = []
         taken = 0
+        possible = frozenset().union(*map(pages_of, set(SIDE_BY_SIDE.findall(text))))
         for page in PAGES:
+            if page not in possible:
+                continue
             spans = _spans(text, page)
             covered = sum(b - a for a, b, _ in spans)
             if covered > taken:

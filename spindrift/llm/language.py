@@ -2,26 +2,29 @@
 
 Error-correcting output codes: each language has a codeword, a binary n-gram classifier predicts each bit, and loss-weighted
 decoding takes the language whose codeword costs least. The gap to the second gives a confidence; a small one flags ambiguity.
-Classifiers are fitted on a bounded sample of labelled pages, of lines whose label a fit on common words agrees with. Pages are read by their main body, passages and their segments each for themselves.
+Classifiers are fitted on a bounded sample of labelled pages in rounds, each on the lines whose label the round before agrees
+with, as labels may be wrong. Pages are read by their main body, passages and their segments each for themselves.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
 from spindrift.llm import page_text as T
 from spindrift.llm.encoding import LOST, repair
-from spindrift.llm.pages import once, per_row
-from spindrift.llm.templates import body, with_templates
+from spindrift.llm.pages import analysed, gathered
+from spindrift.llm.templates import Decision, decided
 from spindrift.sources.tables import latest_documents
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru")
@@ -33,8 +36,12 @@ ORDER = tuple(sorted(LANGUAGES))
 DIMENSIONS = 1 << 15
 #: words of a passage that can be a case
 MIN_WORDS = 5
-#: confidence from which the fit on common words counts as agreeing with a label
-AGREED = 0.8
+#: rounds of fitting, and the confidence from which a round counts as agreeing with a label
+ROUNDS, AGREED = 3, 0.8
+#: a capitalised word is no name if it stands so often in one language, and this share of its places there
+NOUN, OWN = 4, 0.9
+#: a run of words stands under several labels alike if its second most frequent label has this share of the first's lines
+SHARED = 0.3
 #: a decision under this confidence is flagged as ambiguous; it is a case all the same
 AMBIGUOUS = 0.95
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -63,22 +70,22 @@ def ngrams(word: str) -> tuple[int, ...]:
 
 def tokens(text: str) -> list[tuple[str, bool]]:
     """(word in lower case, whether it may be a name) of a text without its web addresses."""
-    text = T.URL.sub(" ", text)
-    capitals = text.upper() == text
-    return [(m.group().lower(), m.group()[0].isupper() and not capitals) for m in WORD.finditer(text)]
+    text = T.URL.sub(" ", text) if "://" in text else text
+    capitals = text.isupper()
+    return [(w.lower(), not capitals and w[0].isupper()) for w in WORD.findall(text)]
 
 
-#: common words of each language and of its web pages, fitted on beside the sample; fixed values
-COMMON = {
-    "en": "the of and to in is was for on that with as by at from are this an be or not have has our your you we us can may will all any more most other new page site home about contact help search log in sign up read next previous latest news share print send post mail save copy link back top comments comment leave reply readers reader written editors desk staff reporters correspondent updated checked last rights reserved copyright terms use privacy notice accessibility imprint jobs press licence images photographs text under registered office complaints write letters shortened mistake found tell others useful was yes no rate follow like join get free weekly letter subscribe now month week year day pence price prices include tax order today advertisement sponsored offer win related articles cookies consent browser device store data settings remember accept manage reject choices statistics advertising measure visits load faster agree withdraw time small files partners visitor how notes every another wind warm cold",
-    "de": "der die das und ist nicht ein eine zu den von mit sich des auf für im dem auch als an nach wie über bei aus zum zur nur wir sie ihre uns startseite themen archiv kontakt anmelden hilfe suche seite seiten beitrag beiträge artikel teilen drucken weiterlesen mehr lesen kommentare kommentar freunden diesen alle rechte vorbehalten nachdruck schriftlicher genehmigung redaktion impressum datenschutz nutzungsbedingungen verwenden verbessern einstellungen öffnen jetzt kostenlos bestellen rundbrief website setzt notwendige ablehnen wenn thema angebot anzeige heute monat preis",
-    "nl": "de het een van en in is dat op te voor met zijn niet aan er om ook als dan maar bij uit nog naar door over wij u uw ons onze deze dit voorpagina onderwerpen archief inloggen hulp zoeken pagina delen deel vrienden lees ook meer reacties reactie artikel alle rechten voorbehouden overname toestemming schriftelijke redactie voorwaarden privacyverklaring gebruiken cookies bezoek verbeteren weigeren altijd kunt meld gratis aan wekelijkse nieuwsbrief plaatst alleen noodzakelijke voorkeuren beheren vandaag maand prijs",
-    "fr": "le la les de des du un une et est en que qui dans pour pas sur au aux avec ce cette ces il elle nous vous notre votre vos leur par plus ou sont être à accueil rubriques propos archives écrire connexion aide recherche lire aussi suite partagez article articles amis commentaires réactions tous droits réservés toute reproduction interdite sans accord écrit éditeur mentions légales données personnelles utilisons améliorer visite pouvez refuser tout moment recevez lettre chaque semaine boîte site dépose témoins gérer préférences aujourd'hui mois prix",
-    "es": "el la los las de del un una y es en que no se por con para su al lo como más o pero sus le ha este esta estas nuestro nuestra usted inicio secciones quiénes somos archivo contacto iniciar sesión ayuda buscar leer interesar puede te comparte página amigos comentarios artículo todos los derechos reservados prohibida reproducción sin permiso escrito redacción aviso legal política privacidad guarda propias terceros configurar usamos funcione mejor rechazarlas cuando quiera suscríbete gratis boletín semanal hoy mes precio",
-    "it": "il lo la i gli le di del della dei delle un una e è in che non si per con da al alla sono come più ma anche o questo questa questi nostro nostra pagina iniziale argomenti chi siamo archivio contatti accedi aiuto cerca leggi condividi amici commenti commento articolo tutti i diritti riservati vietata riproduzione senza permesso scritto redazione note legali informativa riservatezza usa sito migliorare visita puoi rifiutarli ogni momento iscriviti gratis notiziario settimanale utilizziamo solo tecnici gestisci preferenze oggi mese prezzo",
-    "pt": "o a os as de do da dos das um uma e é em no na que não se por com para ao à seu sua mais como mas ou são este esta nosso nossa você início seções quem somos arquivo fale conosco entrar ajuda buscar leia também compartilhe página amigos comentários comentário neste artigo todos os direitos reservados proibida reprodução sem autorização escrita redação aviso legal política privacidade usamos melhorar visita pode recusar quando quiser assine grátis nosso boletim semanal atenção sítio guarda dados hoje mês preço",
-    "ru": "и в не на я что он с как это по но они к у из за от то о для же вы бы мы так его её их был была было были или при до без под над главная разделы о нас архив контакты войти помощь поиск читайте также поделитесь страницей друзьями комментариев статье все права защищены перепечатка только письменного разрешения редакции правовая информация условия сайта используем файлы чтобы сайт работал лучше можете отказаться подпишитесь бесплатно нашу еженедельную рассылку настройки сегодня месяц цена",
-}
+def unshared(samples: list[tuple[list[tuple[str, bool]], int]]) -> list[tuple[list[tuple[str, bool]], int]]:
+    """The samples without those of which a third of the words or more lie in runs of three words that stand under several
+    labels alike: site lines of one language on pages of all, which tell nothing of a label."""
+    runs = [list(zip(w, w[1:], w[2:])) for tok, _ in samples for w in [[x for x, _ in tok]]]
+    labels: dict[tuple[str, ...], Counter] = defaultdict(Counter)
+    for own, (_, k) in zip(runs, samples, strict=True):
+        for run in set(own):
+            labels[run][k] += 1
+    shared = {run for run, n in labels.items() if len(n) > 1 and (second := sorted(n.values())[-2]) >= 2 and second >= SHARED * max(n.values())}
+    alike = lambda own, n: 3 * len({i + j for i, run in enumerate(own) if run in shared for j in range(3)}) >= n
+    return [s for s, own in zip(samples, runs, strict=True) if not alike(own, len(s[0]))]
 
 
 class CodeClassifiers:
@@ -96,23 +103,24 @@ class CodeClassifiers:
         self.margins = np.zeros((0, CODE.shape[1]), np.float32)
 
     @classmethod
-    def fit(cls, samples: list[tuple[str, str]]) -> CodeClassifiers:
-        """Of (text, language): each language weighs the same, however many texts it has. Rare capitalised words, which may
-        be names, are left out."""
+    def counted(cls, samples: list[tuple[list[tuple[str, bool]], int]]) -> CodeClassifiers:
+        """Of (tokens, number of the language): each language weighs the same, however many texts it has. Rare capitalised words,
+        which may be names, are left out."""
         counts = np.zeros((len(LANGUAGES), DIMENSIONS))
-        words: list[Counter] = [Counter({w: 20 for w in COMMON[x].split()}) for x in LANGUAGES]
-        names: list[Counter] = [Counter() for _ in LANGUAGES]
-        for text, language in samples:
-            k = LANGUAGES.index(language)
-            for w, name in tokens(text):
+        words, names = [Counter() for _ in LANGUAGES], [Counter() for _ in LANGUAGES]
+        for tok, k in samples:
+            for w, name in tok:
                 (names if name else words)[k][w] += 1
+        every = sum(names, Counter())
         for k in range(len(LANGUAGES)):
-            # of capitalised words only those seen small too, and the nouns of German: others may be names of sites
-            noun = {w: n for w, n in names[k].items() if w in words[k] or (n >= 4 and LANGUAGES[k] == "de")}
-            for w, n in (words[k] + Counter(noun)).items():
-                # a word said over and over in one sample weighs little more
-                np.add.at(counts[k], list(ngrams(w)), np.log1p(n))
-                words[k][w] = max(words[k][w], n)
+            # of capitalised words only those seen small too, and those of one language alone: others may be names of sites
+            noun = {w: n for w, n in names[k].items() if w in words[k] or (n >= NOUN and n >= OWN * every[w])}
+            own = words[k] + Counter(noun)
+            grams = [ngrams(w) for w in own]
+            # a word said over and over in one sample weighs little more
+            weight = np.repeat(np.log1p(np.fromiter(own.values(), float, len(own))), [len(g) for g in grams])
+            counts[k] = np.bincount(np.fromiter((g for gs in grams for g in gs), int), weight, DIMENSIONS)
+            words[k] |= own
         rate = (counts + 0.2) / (counts.sum(1, keepdims=True) + 0.2 * DIMENSIONS) if counts.any() else counts + 1
         seen, weights = counts.sum(0) > 1, np.zeros((DIMENSIONS, CODE.shape[1]))
         for b in range(CODE.shape[1]):
@@ -120,6 +128,18 @@ class CodeClassifiers:
             weights[:, b] = np.where(seen, np.log(plus.max(0)) - np.log(minus.max(0)), 0.0)  # a bit is a union of languages
         return cls(weights.astype(np.float32), frozenset(w for c in words for w, n in c.items() if n >= 2))
 
+    @classmethod
+    def fit(cls, samples: list[tuple[str, str]]) -> CodeClassifiers:
+        """Of (text, language), where languages may be wrong: after each round only the texts go on whose language the fit so far
+        gives with confidence. The wrong ones are a minority in every language, so the first round outvotes them already."""
+        every = unshared([(tok, LANGUAGES.index(x)) for t, x in samples if (tok := tokens(t))])
+        model = cls.counted(every)
+        for _ in range(ROUNDS if every else 0):
+            language, p = model.decided(model.summed([tok for tok, _ in every]))
+            kept = [s for s, x, c in zip(every, language, p, strict=True) if x == s[1] and c >= AGREED]
+            model = cls.counted(kept)
+        return model
+
     def word(self, w: str, name: bool) -> np.ndarray:
         """Margins of one word. The word itself tells most, if it was seen; a capitalised one that was not may be a name."""
         grams = self.weights[list(ngrams(w))]
@@ -136,31 +156,56 @@ class CodeClassifiers:
             self.margins[k] = self.word(*token)
         return k
 
+    def summed(self, texts: list[list[tuple[str, bool]]]) -> np.ndarray:
+        """Margins of texts given as tokens, a row for each."""
+        out, row, start = np.zeros((len(texts), CODE.shape[1])), self.row, 0
+        ids: list[int] = []
+        sizes: list[int] = []
+        for i, tok in enumerate(texts):
+            for at in range(0, max(1, len(tok)), self.KEPT // 2):
+                part = tok[at : at + self.KEPT // 2]
+                if len(ids) + len(part) > self.KEPT:
+                    self._add(out, start, ids, sizes)
+                    ids, sizes, start = [], [], i
+                if len(self.rows) + len(part) > self.KEPT and not ids:
+                    self.rows.clear()
+                ids += map(row, part)
+                if len(sizes) > i - start:  # a further part of the same text
+                    sizes[-1] += len(part)
+                else:
+                    sizes.append(len(part))
+        self._add(out, start, ids, sizes)
+        return out
+
+    def _add(self, out: np.ndarray, start: int, ids: list[int], sizes: list[int]) -> None:
+        n = np.array(sizes, int)
+        full = np.flatnonzero(n)
+        if len(full):
+            out[start + full] += np.add.reduceat(self.margins[ids], (np.cumsum(n) - n)[full], axis=0)
+
+    @staticmethod
+    def decided(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the language, -1 for a text that tells nothing; confidence) of each row of margins."""
+        language, p = np.full(len(margins), -1), np.zeros(len(margins))
+        for at in range(0, len(margins), 4096):
+            m = margins[at : at + 4096]
+            size = np.abs(m)
+            tells = size.max(1) > 1e-6
+            loss = np.einsum("nlb,nb->nl", np.log1p(np.exp(-np.clip(CODE * m[:, None, :], -30, 30))), np.minimum(1.0, size)) / 2
+            likely = np.exp(loss.min(1, keepdims=True) - loss)
+            language[at : at + 4096] = np.where(tells, loss.argmin(1), -1)
+            p[at : at + 4096] = np.where(tells, likely.max(1) / likely.sum(1), 0.0)
+        return language, p
+
     def decode(self, text: str) -> tuple[str | None, float]:
         """(language, confidence); (None, 0) if the text has no word that tells anything."""
-        tok = tokens(text)
-        if not tok:
-            return None, 0.0
-        margin = np.zeros(CODE.shape[1])
-        for k in range(0, len(tok), self.KEPT // 2):
-            part = tok[k : k + self.KEPT // 2]
-            if len(self.rows) + len(part) > self.KEPT:
-                self.rows.clear()
-            rows = [self.row(t) for t in part]
-            margin += self.margins[rows].sum(0)
-        size = np.abs(margin)
-        if size.max() <= 1e-6:
-            return None, 0.0
-        loss = np.log1p(np.exp(-np.clip(CODE * margin, -30, 30))) @ np.minimum(1.0, size) / 2
-        p = np.exp(loss.min() - loss)
-        best = int(loss.argmin())
-        return LANGUAGES[best], float(p[best] / p.sum())
+        language, p = self.decided(self.summed([tokens(text)]))
+        return (LANGUAGES[language[0]], float(p[0])) if language[0] >= 0 else (None, 0.0)
 
 
 def fit_classifiers(passages: DataFrame, index: DataFrame) -> CodeClassifiers:
     """Classifiers fitted on the labelled sample: for each language the SAMPLE pages of the smallest hashes whose label names
-    it, and of each the first passages. Labels are often wrong and passages foreign, so a first fit, on common words alone, has
-    to agree with the label of each line."""
+    it, and of each the first passages, line by line."""
     label = F.regexp_extract(F.lower(F.trim("html_lang")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
     pages = latest_documents(index).select(F.col("doc_id").cast("string").alias("doc_id"), label.alias("l"), F.xxhash64("doc_id").alias("h"))
     parts = [pages.filter(F.col("l") == x).orderBy("h", "doc_id").limit(SAMPLE) for x in LANGUAGES]
@@ -169,10 +214,7 @@ def fit_classifiers(passages: DataFrame, index: DataFrame) -> CodeClassifiers:
         chosen = chosen.unionByName(p)
     rows = passages.filter((F.col("pos") < SAMPLE_PASSAGES) & (F.length("text") > 20)).select(F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     rows = rows.join(F.broadcast(chosen.select("doc_id", "l")), "doc_id")  # at most SAMPLE pages of each language
-    first = CodeClassifiers.fit([])
-    agreed = lambda t, x: (d := first.decode(t))[0] == x and d[1] >= AGREED
-    lines = [(t, r["l"]) for r in rows.distinct().orderBy("l", "doc_id", "text").collect() for t in repair(r["text"])[0].split("\n")]
-    return CodeClassifiers.fit([(t, x) for t, x in lines if agreed(t, x)])
+    return CodeClassifiers.fit([(t, r["l"]) for r in rows.distinct().orderBy("l", "doc_id", "text").collect() for t in repair(r["text"])[0].split("\n")])
 
 
 def declared(html_lang: str | None) -> str | None:
@@ -201,30 +243,29 @@ def n_words(text: str) -> int:
     return len(all_lost(text)) + sum(w.strip(LOST) != "" for w in LOST_WORD.findall(text))
 
 
-def read(text: str, model: CodeClassifiers) -> tuple[str | None, float]:
-    """:meth:`CodeClassifiers.decode`, also of a text of which most words are lost: those were Russian, as only their letters
-    all lie beyond ASCII."""
-    return ("ru", 1.0) if LOST in text and all_lost(text) else model.decode(text)
+def _russian(text: str) -> bool:
+    """Whether most words of a text are lost: those were Russian, as only their letters all lie beyond ASCII."""
+    return LOST in text and bool(all_lost(text))
 
 
-def page_votes(lines: list[str], model: CodeClassifiers) -> tuple[list[float], float]:
-    """Words of the lines in each language (of ``ORDER``) weighted with the confidence, and the words that tell one."""
-    votes, total = [0.0] * len(ORDER), 0.0
-    for line in lines:
-        language, p = read(line, model)
-        n = n_words(line)
-        if language:
-            votes[ORDER.index(language)] += n * p
-            total += n
-    return votes, total
+def read(text: str, model: CodeClassifiers) -> tuple[str | None, float]:
+    """:meth:`CodeClassifiers.decode`, also of a text of which most words are lost."""
+    return ("ru", 1.0) if _russian(text) else model.decode(text)
 
 
-def read_chunk(items: list[tuple[int, str, str | None]], known: set[int], model: CodeClassifiers) -> tuple[tuple[list[float], float], tuple[list[float], float], list[tuple[int, str, str | None, float]]]:
-    """(votes of the main body; of all lines, where the main body has none; (pos, text, language, confidence) of each passage
-    with text)."""
-    own = page_votes([s for _, left, _ in body(items, known) for s in left], model)
-    rest = ([0.0] * len(ORDER), 0.0) if own[1] else page_votes([s for _, t, _ in items for s in T.lines(t)], model)
-    return own, rest, [(pos, text, *read(text, model)) for pos, t, _ in items if (text := T.repaired(t)).strip()]
+def read_all(lines: list[str], passages: list[tuple[str, int]], model: CodeClassifiers) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(number of the language, confidence) of each line, and of each passage, given as its text and the number of its lines."""
+    margins = model.summed([tokens(x) for x in lines])
+    of = np.repeat(np.arange(len(passages)), [n for _, n in passages])
+    sums = np.zeros((len(passages), CODE.shape[1]))
+    np.add.at(sums, of, margins)
+    out = []
+    for texts, (language, p) in ((lines, model.decided(margins)), ([t for t, _ in passages], model.decided(sums))):
+        for i, t in enumerate(texts):
+            if LOST in t and _russian(t):
+                language[i], p[i] = LANGUAGES.index("ru"), 1.0
+        out.append((language, p))
+    return out[0], out[1]
 
 
 def segments(text: str, model: CodeClassifiers) -> list[dict] | None:
@@ -234,34 +275,71 @@ def segments(text: str, model: CodeClassifiers) -> list[dict] | None:
     return [{"segment": s, "lang": x, "confidence": c} for s, x, c in parts] if mixed else None
 
 
-SEGMENTS = pa.list_(pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())]))
-READ = pa.list_(pa.struct([("pos", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("segments", SEGMENTS)]))
-NAMES = ["doc_id", "chunk", "listed", "label", "votes", "total", "rest", "rest_total", "read"]
-TYPES = [pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64()), pa.float64(), READ]
-SCHEMA = """doc_id string, chunk long, listed boolean, label string, votes array<double>, total double, rest array<double>, rest_total double,
-    read array<struct<pos:int,lang:string,confidence:double,words:int,segments:array<struct<segment:string,lang:string,confidence:double>>>>"""
+SEGMENTS = "array<struct<segment:string,lang:string,confidence:double>>"
+READ = "l_lang array<int>, l_conf array<float>, l_n array<int>, s_lang array<int>, s_conf array<float>, s_n array<int>"
+COLUMNS = ["doc_id", "chunk", "listed", "html_lang", *(c.split()[0] for c in READ.split(", "))]
+OUT = f"doc_id string, chunk long, listed boolean, label string, votes array<double>, total double, rest array<double>, rest_total double, pos array<int>, lang array<int>, confidence array<float>, words array<int>, segments array<{SEGMENTS}>"
+
+
+def _lists(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, kind))
 
 
 def read_pages(passages: DataFrame, index: DataFrame, mixed: bool) -> DataFrame:
     """``doc_id, own, share, first, listed, label, read``: a row for each chunk of a page; ``own`` and ``share``, its language
     and that one's share of the votes, are those of the whole page, whose chunks' votes are summed. ``first`` marks one chunk of
     each page. ``read`` has the passages with text, with their segments only if ``mixed``."""
-    labels = latest_documents(index).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("html_lang"), F.lit(True).alias("listed"))
-    pages, model = with_templates(passages, index).join(labels, "doc_id", "left"), fit_classifiers(passages, index)
-
-    def run(row: dict) -> list[tuple]:
-        own, rest, read = read_chunk(once(row["items"]), set(row["known"] or ()), model)
-        out = [{"pos": pos, "lang": x, "confidence": c, "words": n_words(text), "segments": segments(text, model) if mixed and len(text) > 40 else None} for pos, text, x, c in read]
-        return [(row["doc_id"], row["chunk"], bool(row["listed"]), declared(row["html_lang"]), *own, *rest, out)]
-
+    model = fit_classifiers(passages, index)
+    shared = passages.sparkSession.sparkContext.broadcast((model.weights, model.known))  # as large as the code and SAMPLE make it
+    kept: list[CodeClassifiers] = []  # that of a worker
+
+    def columns(pages: list[list[tuple[int, str, str | None]]], lines: list[list[str]]) -> list[pa.Array]:
+        if not kept:
+            kept.append(CodeClassifiers(*shared.value))
+        each = [(text, n) for page in pages for _, text, _ in page if (n := len(T.lines(text)))]
+        flat = [x for own in lines for x in own]
+        of_line, of_passage = read_all(flat, each, kept[0])
+        n_lines, n_passages = [len(x) for x in lines], [sum(bool(T.lines(t)) for _, t, _ in page) for page in pages]
+        out = [_lists(of_line[0], n_lines, pa.int32()), _lists(of_line[1], n_lines, pa.float32()), _lists(np.array([n_words(x) for x in flat], int), n_lines, pa.int32())]
+        out += [_lists(of_passage[0], n_passages, pa.int32()), _lists(of_passage[1], n_passages, pa.float32()), _lists(np.array([n_words(t) for t, _ in each], int), n_passages, pa.int32())]
+        if mixed:
+            rows, at = [], 0
+            for n in n_passages:
+                rows.append([segments(t, kept[0]) for t, _ in each[at : at + n]])
+                at += n
+            kind = pa.struct([("segment", pa.string()), ("lang", pa.string()), ("confidence", pa.float64())])
+            out.append(pa.array(rows, pa.list_(pa.list_(kind))))
+        return out
+
+    def finish(d: Decision) -> list[pa.Array]:
+        language, p, n = (d.values(c) for c in ("l_lang", "l_conf", "l_n"))
+        tells = language >= 0
+
+        def votes(of: np.ndarray) -> tuple[pa.Array, pa.Array]:
+            by = [d.sums(n * p, of & (language == LANGUAGES.index(x))) for x in ORDER]
+            return pa.array(np.stack(by, 1).tolist(), pa.list_(pa.float64())), pa.array(d.sums(n, of & tells), pa.float64())
+
+        col = lambda c: d.pages.column(c).combine_chunks()
+        labels = pa.array([declared(x) for x in col("html_lang").to_pylist()], pa.string())
+        pos = d.listed(d.pos[d.passage], np.ones(len(d.passage), bool), pa.int32())
+        found = [col("s_lang"), col("s_conf"), col("s_n"), col("segments") if mixed else pa.nulls(d.pages.num_rows, arrow_segments)]
+        return [col("doc_id"), col("chunk"), col("listed"), labels, *votes(d.kept), *votes(np.ones(len(n), bool)), pos, *found]
+
+    arrow_segments = to_arrow_schema(_parse_datatype_string(f"s array<{SEGMENTS}>")).field(0).type
+    extra = (READ + (f", segments array<{SEGMENTS}>" if mixed else ""), columns)
+    rows = decided(analysed(gathered(passages, index), extra), COLUMNS + ["segments"] * mixed, finish, OUT)
     page = Window.partitionBy("doc_id")
     summed = lambda c: F.array(*[F.sum(F.get(c, F.lit(k))).over(page) for k in range(len(ORDER))])
-    rows = pages.mapInArrow(per_row(run, NAMES, TYPES), SCHEMA)
-    rows = rows.withColumns({"votes": summed("votes"), "rest": summed("rest"), "total": F.sum("total").over(page), "rest_total": F.sum("rest_total").over(page), "first": F.col("chunk") == F.min("chunk").over(page)})
+    rows = rows.withColumns(
+        {"votes": summed("votes"), "rest": summed("rest"), "total": F.sum("total").over(page), "rest_total": F.sum("rest_total").over(page), "first": F.col("chunk") == F.min("chunk").over(page)}
+        | {"listed": F.max("listed").over(page), "label": F.max("label").over(page)}
+    )
     rows = rows.withColumns({"votes": F.when(F.col("total") > 0, F.col("votes")).otherwise(F.col("rest")), "total": F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("rest_total"))})
     most = F.array_max("votes")
     own = F.when(F.col("total") > 0, F.get(F.array(*map(F.lit, ORDER)), F.array_position("votes", most).cast("int") - 1))
-    return rows.select("doc_id", own.alias("own"), F.when(F.col("total") > 0, most / F.col("total")).otherwise(0.0).alias("share"), "first", "listed", "label", "read")
+    name = F.transform("lang", lambda k: F.get(F.array(*map(F.lit, LANGUAGES)), k))
+    zipped = F.arrays_zip("pos", name.alias("lang"), F.col("confidence").cast("array<double>").alias("confidence"), "words", F.coalesce("segments", F.expr(f"cast(array() as array<{SEGMENTS}>)")).alias("segments"))
+    return rows.select("doc_id", own.alias("own"), F.when(F.col("total") > 0, most / F.col("total")).otherwise(0.0).alias("share"), "first", "listed", "label", zipped.alias("read"))
 
 
 def languages(passages: DataFrame, index: DataFrame) -> DataFrame:

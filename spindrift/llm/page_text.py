@@ -1,4 +1,6 @@
-"""Lines, elements and clause structure of page text; pure Python over single lines and passages."""
+"""Lines, elements and clause structure of page text; pure Python over single lines and passages.
+
+Most lines lack most of what the patterns look for, so a look at single characters comes before each of the dearer ones."""
 
 from __future__ import annotations
 
@@ -11,40 +13,31 @@ import xxhash
 from spindrift.llm.encoding import LOST, repair
 
 WORD = re.compile(r"[^\W\d_]+")
-SPACES = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
 #: what stands between the entries of a menu or a breadcrumb
 SEPARATOR = re.compile(r"\s*(?:[|·>»•]|\s[/–]\s|\s�+\s|\s{2,})\s*")
+SEPARATES = re.compile(r"[|·>»•/–�]|\s\s")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’)]*\s+")
 LABEL = re.compile(r"^\s*([^:–.!?]{2,30}?)\s*(?::|\s[–-])\s")
+LABELS = re.compile(r"[:–-]\s")
 #: an end that titles have in lists of other pages: a date, a number in brackets, a cut, an arrow, a word after the last stop
 TAIL = re.compile(r"(\(\d+\)|[–-]\s?\d{1,2}\.\d{1,2}\.\d{4}|(?<![.!?])\s…|→|(?<=[.!?])\s+[^\W\d_][^.!?]{2,20})$")
 ENDS = re.compile(r"[.!?…][\"”»’)\]]*(?:\s*[(\[][^()\[\]]{0,40}[)\]])?\s*$")
 NUMBERED = re.compile(r"^\s*\d+[.)]\s+")
 URL = re.compile(r"https?://\S+")
-
-#: what advertisements end or begin with; fixed values
-CALL = re.compile(r"\border today$|\bnow \d+ ?% off$|^win an? \S+.* with |\bfrom \d+ a month\b|^(?:sponsored|advertisement|partner offer)\b|\bsubscribe now\b", re.I)
-#: short words that clauses are made with; fixed values
-CLAUSE_WORDS = frozenset(
-    # English, German, Dutch, French, Spanish, Italian, Portuguese, Russian
-    "the a an and or of to in on with that this is are was were our every another by for from at as if but so we it you who whoever which also does once while because although until before after whenever unless "
-    "der die das und den dem des ein eine ist im mit für von wegen seit aber denn sowie zum nach am "
-    "de het een van en maar want dus terwijl aan voor na sinds met zonder "
-    "la le les l et un une du d au aux car mais que qui pour dans depuis malgré sans après "
-    "el los las y con por para pero aunque porque desde del al sin a "
-    "il lo gli e di che ma per mentre dalla della nel nella con dopo senza "
-    "o os as um uma do da dos das em no na mas embora enquanto pelo pela sem ao à "
-    "и в на с по не что как но к за для у до во со о от из при хотя пока потому".split()
-)
+BEYOND = re.compile("[^\x00-\x7f]+")
+SIGNS = re.compile(r"[\W_]+")
+SOLID = re.compile(r"[^\W_]")
+STOP_WITHIN = re.compile(r"[.!?]\s")
+#: words of a clause at least
+CLAUSE_WORDS = 4
+#: words of a heading that is a title; a longer one is text
+TITLE_WORDS = 16
 
 
 def key(line: str) -> str:
     """A line in lower case, without white space, each run of digits one 0."""
-    return SPACES.sub("", DIGITS.sub("0", line.lower()))
-
-
-BEYOND = re.compile("[^\x00-\x7f]+")
+    return "".join(DIGITS.sub("0", line.lower()).split())
 
 
 def lossy(line: str) -> str | None:
@@ -57,95 +50,91 @@ def lossy(line: str) -> str | None:
     if len(runs) < 2:
         return None
     half = 2 if LOST in line and all(n % 2 == 0 for n in runs) else 1
-    return SPACES.sub(" ", BEYOND.sub(lambda m: f"<{len(m.group()) // half}>", DIGITS.sub("0", line.lower())))
+    return " ".join(BEYOND.sub(lambda m: f"<{len(m.group()) // half}>", DIGITS.sub("0", line.lower())).split())
 
 
 def hashed(kind: str, text: str) -> int:
     return xxhash.xxh64_intdigest(kind + text) - (1 << 63)
 
 
-SIGNS = re.compile(r"[\W_]+")
-SOLID = re.compile(r"[^\W_]")
-CYRILLIC = re.compile("[А-я]")
-STOP_WITHIN = re.compile(r"[.!?]\s")
-
-
-def letters(line: str) -> int:
-    """Letters and digits of a line."""
-    return len(SIGNS.sub("", line))
+def lines(repaired: str) -> list[str]:
+    """Lines of a repaired passage, without blank ones."""
+    return [s for line in repaired.split("\n") if (s := line.strip())]
 
 
-@lru_cache(1 << 10)
-def repaired(text: str | None) -> str:
-    """A passage as it was written; kept for the operators that ask for it again within a page."""
-    return repair(text)[0] or ""
+def ends(line: str) -> bool:
+    """Whether a line ends with a stop, closing marks and a short bracket after it included."""
+    return bool(line) and (line[-1] in ".!?…" or (not line[-1].isalnum() and ENDS.search(line) is not None))
 
 
-def lines(text: str | None) -> list[str]:
-    """Lines of a passage, repaired, without blank ones."""
-    return [s for line in repaired(text).split("\n") if (s := line.strip())]
+def parts_of(sentences: list[str]) -> list[str]:
+    out = []
+    for s in sentences:
+        out += [p for p in SEPARATOR.split(s) if SOLID.search(p)] if SEPARATES.search(s) else [s] if SOLID.search(s) else []
+    return out
 
 
 def parts(line: str) -> tuple[str, ...]:
     """The smallest elements of a line: sentences, and the entries of a list with separators."""
-    return tuple(p for s in SENTENCE.split(line) for p in SEPARATOR.split(s) if SOLID.search(p))
+    return tuple(parts_of(SENTENCE.split(line)))
+
+
+#: what :func:`line_of` tells of a line by single bits; the last two are of the passage it stands in
+IS_SENTENCE, IS_TITLE, HAS_END, IS_LOST, TAIL_IS_CUT, IN_HEADING, IS_PAGE_TITLE = (1 << k for k in range(7))
+#: the hash of a line as a heading is that of the whole line with these bits turned
+HEADING = 0x5DEECE66D
 
 
 class Line(NamedTuple):
-    """Hashes of a line's elements: the line, its parts with their letters, its label, its end, the line without losses."""
+    """Hashes of a line's elements, 0 for none: the line, its label, its end, the line without losses, and its parts with their
+    letters; ``flags``; ``sentences`` of (characters, whether it has a clause's structure, its words)."""
 
     whole: int
-    heading: int
+    label: int
+    tail: int
+    lossy: int
     parts: tuple[tuple[int, int], ...]
-    label: int | None
-    tail: int | None
-    tail_is_cut: bool
-    lossy: int | None
-    lost: bool
-    sentence: bool
-    title: bool
-    ends: bool
-    call: bool
-    clauses: int
-
-
-@lru_cache(1 << 13)
+    flags: int
+    sentences: tuple[tuple[int, bool, tuple[str | None, ...]], ...]
+
+
+@lru_cache(1 << 12)
 def line_of(line: str) -> Line:
     k = key(line)
-    label, tail = LABEL.search(line), TAIL.search(line)
+    cut = SENTENCE.split(line)
+    label = LABEL.search(line) if LABELS.search(line, 0, 40) else None
+    tail = TAIL.search(line) if line[-1] not in ".!?" else None
     lossy_key = None if line.isascii() else lossy(line)
-    ends = bool(ENDS.search(line))
+    own = [line] if len(cut) == 1 and not SEPARATES.search(line) else parts_of(cut)
+    each = tuple((hashed("S", x), len(x)) for p in own if (x := k if p is line else key(p)))
+    lost, end = LOST in line, ends(line)
+    bits = IS_SENTENCE * is_sentence(line) | IS_TITLE * title_like(line) | HAS_END * end | IS_LOST * lost
+    if tail and end and tail.group(1).strip() == "…" and not title_cut(line):
+        bits |= TAIL_IS_CUT
     return Line(
         whole=hashed("L", k),
-        heading=hashed("T", k),
-        parts=tuple((hashed("S", key(p)), letters(p)) for p in parts(line)),
-        label=hashed("P", key(label.group(1))) if label else None,
-        tail=hashed("E", key(tail.group(1))) if tail else None,
-        tail_is_cut=bool(tail) and ends and tail.group(1).strip() == "…" and not title_cut(line),
-        lossy=None if lossy_key is None else hashed("X", lossy_key),
-        lost=LOST in line,
-        sentence=is_sentence(line),
-        title=title_like(line, None),
-        ends=ends,
-        call=bool(CALL.search(line)),
-        clauses=sum(n for _, n in clause_sentences(line)),
+        label=hashed("P", key(label.group(1))) if label else 0,
+        tail=hashed("E", key(tail.group(1))) if tail else 0,
+        lossy=0 if lossy_key is None else hashed("X", lossy_key),
+        parts=each if SOLID.search(k) else (),
+        flags=bits,
+        sentences=tuple(clause(s) for s in cut),
     )
 
 
-def is_sentence(line: str) -> bool:
-    """Whether a line holds a sentence: four words or more, and a full stop at its end or within."""
-    line = NUMBERED.sub("", line)
-    return bool(ENDS.search(line) or STOP_WITHIN.search(line)) and len(WORD.findall(line)) >= 4
+def clause(sentence: str) -> tuple[int, bool, tuple[str | None, ...]]:
+    """(characters, whether it has a clause's structure: four words or more and a stop; its words in lower case without signs
+    and without web addresses, None for one of which nothing is left)."""
+    words = (URL.sub(" ", sentence) if "://" in sentence else sentence).lower().split()
+    n = len(words) if len(words) > 9 else sum(not w.isnumeric() and (LOST in w or SOLID.search(w) is not None) for w in words)
+    bare = [w if w.isalnum() else SIGNS.sub("", w) or (None if LOST in w else w) for w in words]
+    return len(sentence), n >= CLAUSE_WORDS and ends(sentence), tuple(bare)
 
 
-def clause_sentences(line: str) -> list[tuple[str, int]]:
-    """(sentence, its characters if it is a clause) of a line. Clauses end with a stop and have four words, and the line has
-    the words clauses are made with; Russian does with few of them, and of a text that is lost only the stops can tell."""
-    w = WORD.findall(line.lower())
-    lost = LOST in line
-    clauses = sum(x in CLAUSE_WORDS for x in w) >= 0.08 * len(w) or lost or CYRILLIC.search(line) is not None
-    n_words = (lambda s: len(s.split())) if lost else (lambda s: len(WORD.findall(s)))
-    return [(s, len(s) if clauses and ENDS.search(s) and n_words(s) >= 4 else 0) for s in SENTENCE.split(line)]
+def is_sentence(line: str) -> bool:
+    """Whether a line holds a sentence: four words or more, and a full stop at its end or within."""
+    line = NUMBERED.sub("", line) if line[:1].isdigit() else line
+    return (ends(line) or STOP_WITHIN.search(line) is not None) and len(WORD.findall(line)) >= 4
 
 
 def title_cut(line: str) -> bool:
@@ -153,7 +142,7 @@ def title_cut(line: str) -> bool:
     return line.endswith(" …") and not re.search(r"[.!?]", line)
 
 
-def title_like(text: str, ptype: str | None) -> bool:
-    """One line without a sentence's end that is not marked as a heading."""
-    title = text.removesuffix("…").rstrip()
-    return ptype != "h" and "\n" not in title and 2 <= len(WORD.findall(title)) <= 25 and not is_sentence(title)
+def title_like(line: str) -> bool:
+    """A line without a sentence's end."""
+    title = line.removesuffix("…").rstrip()
+    return 2 <= len(WORD.findall(title)) <= 25 and not is_sentence(title)

@@ -1,92 +1,49 @@
 """Problem 1: keyword-stuffed and link-list pages.
 
-The suffix automaton of a page's own words tells what repeated maximal substrings cover; what they leave, in sentences that
-have the words clauses are made with, is the page's clause structure. A page of which the greater part lacks it is spam.
-Site lines do not count as a page's own. Links and tags of the crawl features weigh where the text alone is in doubt.
+The suffix automaton of a page's words tells what its repeated maximal substrings cover. The characters of the page's own
+sentences (four words or more up to a stop) that repeats do not cover are its clause structure: lists and links have no
+sentences, and strings that imitate them are covered. A page of which the greater part lacks clause structure is spam. Site
+lines do not count as a page's own. Links and tags of the crawl features move the bound.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spindrift.llm import page_text as T
-from spindrift.llm.pages import once, per_row
-from spindrift.llm.suffix_automaton import SuffixAutomaton
-from spindrift.llm.templates import body, with_templates
+from spindrift.llm.pages import analysed, gathered
+from spindrift.llm.templates import Decision, decided
 
-#: own sentences must be under this share of the page's own characters
+#: characters of clauses must be under this share of the page's own characters
 MAX_CLAUSES = 0.5
 #: band about it where links and tags weigh
 DOUBT = 0.06
-#: words of a heading that is a title; a longer one is text
-TITLE_WORDS = 16
-#: from this share of its characters covered by repeats a sentence loses what they cover
-REPEATED = 0.6
-#: words of a repeated substring at least, in a page of up to so many words; a page of twice as many asks for one more
-LEAST, LEAST_UP_TO = 3, 600
-
-
-def least(n: int) -> int:
-    """Words of a repeated substring at least in a page of n words. The places a run can recur at by chance grow with the page;
-    a recurring run goes on for one more word by chance at most half of the time, which evens out one doubling."""
-    return LEAST + max(0, math.ceil(math.log2(max(1, n) / LEAST_UP_TO)))
 
+DDL = "doc_id string, chunk long, links int, tags int, own long, clauses double, covered long, words long, dropped array<int>"
 
-def sentence_stats(lines: list[str]) -> tuple[int, float, int]:
-    """(own characters, of them in clauses not covered by repeats, characters covered by repeats)."""
-    words, owner, chars, clause = [], [], [], []
-    own = 0
-    for line in lines:
-        line = " ".join(line.split())
-        own += len(line)
-        for s, n in T.clause_sentences(line):
-            for w in (T.URL.sub(" ", s) if "://" in s else s).lower().split():
-                # words of which nothing is left are not known to be the same
-                words.append(T.SIGNS.sub("", w) or (f"{w}{len(words)}" if T.LOST in w else w))
-                owner.append(len(clause))
-                chars.append(len(w) + 1)
-            clause.append(n)
-    total, hit = [0] * len(clause), [0] * len(clause)
-    covered = SuffixAutomaton(words).covered(least(len(words)))
-    for o, n, c in zip(owner, chars, covered, strict=True):
-        total[o] += n
-        if c:
-            hit[o] += n
-    good = sum(n * (1 - h / t) if h > REPEATED * t else n for n, h, t in zip(clause, hit, total, strict=True) if t)
-    return own, good, sum(hit)
 
-
-SCHEMA = "doc_id string, links int, tags int, own long, clauses double, covered long, words long, dropped array<int>"
-TYPES = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+def _finish(d: Decision) -> list[pa.Array]:
+    of = d.kept & ~d.title  # a title is no clause in any page
+    own, good, hit, words = (d.sums(d.values(c), of) for c in ("l_own", "l_good", "l_hit", "l_words"))
+    given = [d.pages.column(c).combine_chunks() for c in ("doc_id", "chunk", "links", "tags")]
+    long = lambda x: pa.array(x.astype(np.int64))
+    return [*given, long(own), pa.array(good.astype(np.float64)), long(hit), long(words), d.listed(d.pos[d.passage], d.dropped, pa.int32())]
 
 
 def judged(passages: DataFrame, index: DataFrame, features: DataFrame) -> DataFrame:
-    """``doc_id, own, clauses, covered, words, links, tags, dropped, spam``: one row for each chunk of a page; the figures are
-    those of the whole page, ``dropped`` has the positions that the chunk's template covers.
+    """``doc_id, chunk, links, tags, own, clauses, covered, words, dropped, spam``: one row for each chunk of a page; the figures
+    are those of the whole page, ``dropped`` has the positions that the chunk's template covers.
 
     Pages without own text are not spam. Null link counts, and a 0, count as unknown, then the tags weigh; of repeated
     feature rows the greatest counts hold. Repeated passages count once; empty tables give no rows; extra columns are
-    ignored. One pass of Python over the pages; only counts are shuffled after it.
+    ignored.
     """
-
-    def run(row: dict) -> list[tuple]:
-        items = once(row["items"])
-        kept = body(items, set(row["known"] or ()))
-        titles = {pos for pos, text, ptype in items if ptype == "h" and "\n" not in text.strip() and len(text.split()) <= TITLE_WORDS}
-        lines = [s for pos, left, _ in kept if pos not in titles for s in left]  # a title is no clause in any page
-        own, good, hit = sentence_stats(lines)
-        return [(row["doc_id"], row["links"], row["tags"], own, good, hit, sum(len(T.WORD.findall(s)) for s in lines), [pos for pos, _, drop in kept if drop])]
-
-    f = features.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("url_count").cast("int").alias("links"), F.max("tag_count").cast("int").alias("tags"))
-    rows = with_templates(passages, index).join(f, "doc_id", "left").mapInArrow(per_row(run, NAMES, TYPES), SCHEMA)
+    rows = decided(analysed(gathered(passages, index, features)), ["doc_id", "chunk", "links", "tags", "l_own", "l_good", "l_hit", "l_words"], _finish, DDL)
     page = Window.partitionBy("doc_id")
-    whole = rows.withColumns({c: F.sum(c).over(page) for c in ("own", "clauses", "covered", "words")})
+    whole = rows.withColumns({c: F.sum(c).over(page) for c in ("own", "clauses", "covered", "words")} | {c: F.max(c).over(page) for c in ("links", "tags")})
     share = F.col("clauses") / F.col("own")
     # links to a word and tags to a word, where known: dense markup moves the bound up, sparse down
     dense = F.when(F.col("links") > 0, F.col("links") / F.greatest("words", F.lit(1)) > 1).otherwise(F.coalesce(F.col("tags") / F.greatest("words", F.lit(1)) > 2, F.lit(False)))

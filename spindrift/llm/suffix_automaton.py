@@ -2,61 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Hashable, Sequence
+
 
 class SuffixAutomaton:
-    """All substrings of ``symbols`` in O(n) states; ``count[v]`` is how often the substrings of state v occur."""
+    """All substrings of ``symbols`` in O(n) states. The substrings of a state occur more than once if and only if the state is
+    the suffix link of another; a symbol None equals no other."""
 
-    def __init__(self, symbols: list):
-        self.next: list[dict] = [{}]
-        self.link, self.length, self.count = [-1], [0], [0]
+    def __init__(self, symbols: Sequence[Hashable | None]):
+        follow: list[dict] = [{}]
+        link, length = [-1], [0]
         self.prefix: list[int] = []  # state of each prefix
         last = 0
         for c in symbols:
-            cur = self._state(self.length[last] + 1, {}, 1)
-            p = last
-            while p != -1 and c not in self.next[p]:
-                self.next[p][c] = cur
-                p = self.link[p]
-            if p == -1:
-                self.link[cur] = 0
-            else:
-                q = self.next[p][c]
-                if self.length[p] + 1 == self.length[q]:
-                    self.link[cur] = q
-                else:
-                    clone = self._state(self.length[p] + 1, dict(self.next[q]), 0)
-                    self.link[clone] = self.link[q]
-                    while p != -1 and self.next[p].get(c) == q:
-                        self.next[p][c] = clone
-                        p = self.link[p]
-                    self.link[q] = self.link[cur] = clone
+            cur = len(follow)
+            follow.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            if c is not None:
+                p = last
+                while p != -1 and c not in follow[p]:
+                    follow[p][c] = cur
+                    p = link[p]
+                if p != -1:
+                    q = follow[p][c]
+                    if length[p] + 1 == length[q]:
+                        link[cur] = q
+                    else:
+                        clone = len(follow)
+                        follow.append(follow[q].copy())
+                        length.append(length[p] + 1)
+                        link.append(link[q])
+                        while p != -1 and follow[p].get(c) == q:
+                            follow[p][c] = clone
+                            p = link[p]
+                        link[q] = link[cur] = clone
             last = cur
             self.prefix.append(cur)
-        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            self.count[self.link[v]] += self.count[v]
-
-    def _state(self, length: int, out: dict, count: int) -> int:
-        self.next.append(out)
-        self.link.append(0)
-        self.length.append(length)
-        self.count.append(count)
-        return len(self.length) - 1
+        self.link, self.length = link, length
+        self.again = set(link)
 
     def covered(self, least: int = 2) -> list[bool]:
         """For each symbol whether it lies in a substring of at least ``least`` symbols that occurs more than once.
 
-        At each end the longest repeated suffix is marked; every repeated maximal substring ends as such a suffix.
+        At each end the longest repeated suffix is marked, which is that of the prefix's state or of its suffix link; every
+        repeated maximal substring ends as such a suffix.
         """
         n = len(self.prefix)
-        longest = []
-        for v in self.prefix:
-            while v > 0 and self.count[v] < 2:
-                v = self.link[v]
-            longest.append(self.length[v] if v > 0 else 0)
         out, reach = [False] * n, n
         for i in range(n - 1, -1, -1):
-            if longest[i] >= least:
-                reach = min(reach, i - longest[i] + 1)
+            v = self.prefix[i]
+            longest = self.length[v if v in self.again else self.link[v]]
+            if longest >= least:
+                reach = min(reach, i - longest + 1)
             out[i] = reach <= i
             if reach >= i:
                 reach = n

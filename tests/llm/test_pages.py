@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from spindrift.llm import language, page_text, spam, templates
+from spindrift.llm import language, page_text, pages, spam, templates
 from spindrift.llm.suffix_automaton import SuffixAutomaton
 
 PASSAGES = "doc_id string, pos int, text string, ptype string, known string, site string"
@@ -79,8 +79,9 @@ def test_long_repeated_runs_are_spam(spark):
     assert sum(len(s.split()) for s in run) == 700
     clean = [f"The {rng.choice(ADJ)} {k}th word{k} and the {rng.choice(NOUNS)} of place{k} {rng.choice(VERBS)} it{k}." for k in range(400)]
     rows = [("r", k, " ".join(run), "b", None, None) for k in range(4)] + [("c", k, t, "b", None, None) for k, t in enumerate(clean)]
-    own, good, hit = spam.sentence_stats([t for d, _, t, *_ in rows if d == "r"])
-    assert good == 0 and hit > 0.99 * own
+    texts = [t for d, _, t, *_ in rows if d == "r"]
+    each = pages.coverage([x for t in texts for x in page_text.line_of(t).sentences])
+    assert sum(good for good, _ in each) == 0 and sum(hit for _, hit in each) > 0.99 * sum(map(len, texts))
     i, f = spark.createDataFrame([], IDX), spark.createDataFrame([], FEATURES)
     assert [r["doc_id"] for r in spam.found(spark.createDataFrame(rows, PASSAGES), i, f).collect()] == ["r"]
 
@@ -147,12 +148,32 @@ def test_languages_of_pages_and_passages(spark):
 
 
 def test_ambiguous_passages_are_cases(spark):
-    rows = [("p", pos, TEXTS["en"], "b", None, None) for pos in range(5)] + [("p", 5, "Gatos pequenos dormem embaixo da janela", "b", None, None), ("p", 6, "Zonas verdes para perros pequeños", "b", None, None)]
-    rows += [(f"l_{x}_{k}", 0, f"{t} {t}", "b", None, None) for x, t in TEXTS.items() for k in range(2)]
+    """What is known of a language comes from the labelled pages alone: two more Spanish ones have the word that tells pos 6; of the
+    words of pos 7 none was seen."""
+    foreign = ["Gatos pequenos dormem embaixo da janela", "Zonas verdes para perros pequeños", "Zonas verdes con perros pequeños"]
+    rows = [("p", pos, TEXTS["en"], "b", None, None) for pos in range(5)] + [("p", pos, t, "b", None, None) for pos, t in enumerate(foreign, 5)]
+    rows += [(f"l_{x}_{k}", 0, f"{t} {t}", "b", None, None) for x, t in TEXTS.items() for k in range(2)] + [(f"l_es_{k}", 1, "Hay un camino para la gente.", "b", None, None) for k in range(2)]
     idx = spark.createDataFrame([(f"l_{x}_{k}", None, 1, x, None) for x in TEXTS for k in range(2)] + [("p", None, 1, "en", None)], IDX)
     p = spark.createDataFrame(rows, PASSAGES)
-    assert {tuple(r) for r in language.found(p, idx).collect()} == {("p", 5, "pt"), ("p", 6, "es")}
-    assert {r["pos"] for r in language.languages(p, idx).filter("doc_id = 'p' and pos >= 0 and ambiguous").collect()} == {5, 6}
+    got = {tuple(r) for r in language.found(p, idx).collect()}
+    assert {r for r in got if r[1] < 7} == {("p", 5, "pt"), ("p", 6, "es")}
+    assert 7 in {pos for _, pos, _ in got}
+    assert {r["pos"] for r in language.languages(p, idx).filter("doc_id = 'p' and pos >= 0 and ambiguous").collect()} == {7}
+
+
+def test_wrong_labels_are_outvoted():
+    rng = random.Random(5)
+    samples = [(t, x if rng.random() > 0.2 else rng.choice(language.LANGUAGES)) for _ in range(30) for x, t in TEXTS.items()]
+    samples += [("Reproduction needs the written consent of the office.", x) for x in TEXTS for _ in range(30)]  # on pages of all
+    m = language.CodeClassifiers.fit(samples)
+    assert {x: m.decode(t)[0] for x, t in TEXTS.items()} == {x: x for x in TEXTS}
+    assert m.decode("The written consent of the office.")[0] == "en"
+
+
+def test_short_passages_have_segments():
+    m = language.CodeClassifiers.fit([(t, x) for x, t in TEXTS.items()] * 3)
+    got = language.segments("The river was quiet. Der Fluss war ruhig.", m)
+    assert [(x["segment"], x["lang"]) for x in got] == [("The river was quiet.", "en"), ("Der Fluss war ruhig.", "de")]
 
 
 def test_a_long_page_has_one_language(spark):
@@ -182,7 +203,7 @@ def test_lost_lines():
 
 
 def test_lost_words():
-    m = language.CodeClassifiers.fit([])
+    m = language.CodeClassifiers.fit([(t, x) for x, t in TEXTS.items()] * 3)
     gone = "".join("�" if c > "\x7f" else c for c in TEXTS["ru"])
     assert language.read(gone, m)[0] == "ru"
     assert language.n_words(gone) == language.n_words(TEXTS["ru"])
