@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests on one machine) one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; only where that is unset, and only on a single machine (tests), one of our
+    own: a cluster without it is refused, as no folder of one machine could be read by the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "spindrift-checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = spark.sparkContext.getCheckpointDir()
+        if folder is None:
+            folder = "file://" + os.path.join(tempfile.gettempdir(), "spindrift-checkpoints")
+            spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a parquet table of the checkpoint folder, which cuts the lineage as a checkpoint does and lets readers take
+    only the columns they need. Runs a job; Hadoop removes the table when the application ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4()}.parquet"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def latest_documents(index: DataFrame) -> DataFrame:
     """One row per page of ``documents_idx``: the values of its latest ``fetched_at``.
 
