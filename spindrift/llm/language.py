@@ -68,17 +68,16 @@ def ngrams(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(g.encode("utf-8", "replace")) % DIMENSIONS for g in sorted(grams))
 
 
-def tokens(text: str) -> list[tuple[str, bool]]:
-    """(word in lower case, whether it may be a name) of a text without its web addresses."""
-    text = T.URL.sub(" ", text) if "://" in text else text
-    capitals = text.isupper()
-    return [(w.lower(), not capitals and w[0].isupper()) for w in WORD.findall(text)]
+def tokens(text: str) -> list[str]:
+    """Words of a text without its web addresses, as written: a capital may begin a name. A text all in capitals is made small."""
+    words = WORD.findall(T.URL.sub(" ", text) if "://" in text else text)
+    return [w.lower() for w in words] if text.isupper() else words
 
 
-def unshared(samples: list[tuple[list[tuple[str, bool]], int]]) -> list[tuple[list[tuple[str, bool]], int]]:
+def unshared(samples: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
     """The samples without those of which a third of the words or more lie in runs of three words that stand under several
     labels alike: site lines of one language on pages of all, which tell nothing of a label."""
-    runs = [list(zip(w, w[1:], w[2:])) for tok, _ in samples for w in [[x for x, _ in tok]]]
+    runs = [list(zip(w, w[1:], w[2:])) for tok, _ in samples for w in [[x.lower() for x in tok]]]
     labels: dict[tuple[str, ...], Counter] = defaultdict(Counter)
     for own, (_, k) in zip(runs, samples, strict=True):
         for run in set(own):
@@ -99,18 +98,18 @@ class CodeClassifiers:
 
     def __init__(self, weights: np.ndarray, known: frozenset[str]):
         self.weights, self.known = weights, known
-        self.rows: dict[tuple[str, bool], int] = {}
+        self.rows: dict[str, int] = {}
         self.margins = np.zeros((0, CODE.shape[1]), np.float32)
 
     @classmethod
-    def counted(cls, samples: list[tuple[list[tuple[str, bool]], int]]) -> CodeClassifiers:
+    def counted(cls, samples: list[tuple[list[str], int]]) -> CodeClassifiers:
         """Of (tokens, number of the language): each language weighs the same, however many texts it has. Rare capitalised words,
         which may be names, are left out."""
         counts = np.zeros((len(LANGUAGES), DIMENSIONS))
         words, names = [Counter() for _ in LANGUAGES], [Counter() for _ in LANGUAGES]
         for tok, k in samples:
-            for w, name in tok:
-                (names if name else words)[k][w] += 1
+            for w in tok:
+                (names if w[0].isupper() else words)[k][w.lower()] += 1
         every = sum(names, Counter())
         for k in range(len(LANGUAGES)):
             # of capitalised words only those seen small too, and those of one language alone: others may be names of sites
@@ -146,19 +145,19 @@ class CodeClassifiers:
         whole = self.weights[zlib.crc32(f"<{w}>".encode("utf-8", "replace")) % DIMENSIONS]
         return np.clip(0.75 * whole + 0.5 * grams.mean(0) if w in self.known else grams.mean(0) * (0.05 if name else 0.25), -self.MOST, self.MOST)
 
-    def row(self, token: tuple[str, bool]) -> int:
+    def row(self, token: str) -> int:
         """Place of a word's margins in the table."""
         k = self.rows.get(token)
         if k is None:
             k = self.rows[token] = len(self.rows)
             if k >= len(self.margins):
                 self.margins = np.concatenate([self.margins, np.zeros((max(256, len(self.margins)), CODE.shape[1]), np.float32)])
-            self.margins[k] = self.word(*token)
+            self.margins[k] = self.word(token.lower(), token[0].isupper())
         return k
 
-    def summed(self, texts: list[list[tuple[str, bool]]]) -> np.ndarray:
+    def summed(self, texts: list[list[str]]) -> np.ndarray:
         """Margins of texts given as tokens, a row for each."""
-        out, row, start = np.zeros((len(texts), CODE.shape[1])), self.row, 0
+        out, row, get, start = np.zeros((len(texts), CODE.shape[1])), self.row, self.rows.get, 0
         ids: list[int] = []
         sizes: list[int] = []
         for i, tok in enumerate(texts):
@@ -169,7 +168,8 @@ class CodeClassifiers:
                     ids, sizes, start = [], [], i
                 if len(self.rows) + len(part) > self.KEPT and not ids:
                     self.rows.clear()
-                ids += map(row, part)
+                own = list(map(get, part))
+                ids += map(row, part) if None in own else own
                 if len(sizes) > i - start:  # a further part of the same text
                     sizes[-1] += len(part)
                 else:
@@ -253,19 +253,24 @@ def read(text: str, model: CodeClassifiers) -> tuple[str | None, float]:
     return ("ru", 1.0) if _russian(text) else model.decode(text)
 
 
-def read_all(lines: list[str], passages: list[tuple[str, int]], model: CodeClassifiers) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(number of the language, confidence) of each line, and of each passage, given as its text and the number of its lines."""
-    margins = model.summed([tokens(x) for x in lines])
+def read_all(lines: list[str], passages: list[tuple[str, int]], model: CodeClassifiers) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the language, confidence, words) of each line, and of each passage, given as its text and the number of its
+    lines."""
+    cut = [tokens(x) for x in lines]
+    margins = model.summed(cut)
+    words = np.array([len(w) if "'" not in x and "’" not in x and LOST not in x else n_words(x) for w, x in zip(cut, lines, strict=True)], int)
     of = np.repeat(np.arange(len(passages)), [n for _, n in passages])
     sums = np.zeros((len(passages), CODE.shape[1]))
     np.add.at(sums, of, margins)
     out = []
-    for texts, (language, p) in ((lines, model.decided(margins)), ([t for t, _ in passages], model.decided(sums))):
+    for texts, (language, p), n in ((lines, model.decided(margins), words), ([t for t, _ in passages], model.decided(sums), np.bincount(of, words, len(passages)).astype(int))):
         for i, t in enumerate(texts):
-            if LOST in t and _russian(t):
-                language[i], p[i] = LANGUAGES.index("ru"), 1.0
-        out.append((language, p))
-    return out[0], out[1]
+            if LOST in t:
+                n[i] = n_words(t)
+                if _russian(t):
+                    language[i], p[i] = LANGUAGES.index("ru"), 1.0
+        out.append((language, p, n))
+    return out
 
 
 def segments(text: str, model: CodeClassifiers) -> list[dict] | None:
@@ -300,8 +305,7 @@ def read_pages(passages: DataFrame, index: DataFrame, mixed: bool) -> DataFrame:
         flat = [x for own in lines for x in own]
         of_line, of_passage = read_all(flat, each, kept[0])
         n_lines, n_passages = [len(x) for x in lines], [sum(bool(T.lines(t)) for _, t, _ in page) for page in pages]
-        out = [_lists(of_line[0], n_lines, pa.int32()), _lists(of_line[1], n_lines, pa.float32()), _lists(np.array([n_words(x) for x in flat], int), n_lines, pa.int32())]
-        out += [_lists(of_passage[0], n_passages, pa.int32()), _lists(of_passage[1], n_passages, pa.float32()), _lists(np.array([n_words(t) for t, _ in each], int), n_passages, pa.int32())]
+        out = [_lists(v, sizes, kind) for of, sizes in ((of_line, n_lines), (of_passage, n_passages)) for v, kind in zip(of, (pa.int32(), pa.float32(), pa.int32()), strict=True)]
         if mixed:
             rows, at = [], 0
             for n in n_passages:

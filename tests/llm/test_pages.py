@@ -149,14 +149,14 @@ def test_languages_of_pages_and_passages(spark):
 
 def test_ambiguous_passages_are_cases(spark):
     """What is known of a language comes from the labelled pages alone: two more Spanish ones have the word that tells pos 6; of the
-    words of pos 7 none was seen."""
+    words of pos 7 none was seen. The page itself has no label, so its foreign passages are not fitted on."""
     foreign = ["Gatos pequenos dormem embaixo da janela", "Zonas verdes para perros pequeños", "Zonas verdes con perros pequeños"]
     rows = [("p", pos, TEXTS["en"], "b", None, None) for pos in range(5)] + [("p", pos, t, "b", None, None) for pos, t in enumerate(foreign, 5)]
     rows += [(f"l_{x}_{k}", 0, f"{t} {t}", "b", None, None) for x, t in TEXTS.items() for k in range(2)] + [(f"l_es_{k}", 1, "Hay un camino para la gente.", "b", None, None) for k in range(2)]
-    idx = spark.createDataFrame([(f"l_{x}_{k}", None, 1, x, None) for x in TEXTS for k in range(2)] + [("p", None, 1, "en", None)], IDX)
+    idx = spark.createDataFrame([(f"l_{x}_{k}", None, 1, x, None) for x in TEXTS for k in range(2)] + [("p", None, 1, None, None)], IDX)
     p = spark.createDataFrame(rows, PASSAGES)
     got = {tuple(r) for r in language.found(p, idx).collect()}
-    assert {r for r in got if r[1] < 7} == {("p", 5, "pt"), ("p", 6, "es")}
+    assert {r for r in got if r[1] < 7} == {("p", -1, "en"), ("p", 5, "pt"), ("p", 6, "es")}
     assert 7 in {pos for _, pos, _ in got}
     assert {r["pos"] for r in language.languages(p, idx).filter("doc_id = 'p' and pos >= 0 and ambiguous").collect()} == {7}
 
