@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -88,10 +89,62 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=names)
 
 
+def _degrees(docs: pa.Array, block: np.ndarray, items: pa.ListArray) -> pa.RecordBatch:
+    """The rows of blocks whose terms all stand in one block, by sorting numbers instead of building the graph in dictionaries:
+    the pairs of terms at most WINDOW apart, each once, are the edges."""
+    flat = items.flatten()
+    row = np.repeat(np.arange(len(items)), np.asarray(items.value_lengths()))
+    field = {flat.type[i].name: flat.field(i) for i in range(flat.type.num_fields)}
+    coded = field["term"].dictionary_encode()
+    term, n_terms = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    tf, first, lists = field["tf"].to_numpy(), field["first"].to_numpy(zero_copy_only=False), field["at"]
+    sizes, at = np.asarray(lists.value_lengths()), lists.flatten().to_numpy().astype(np.int64)
+    # a term once in each block; of repeated rows the greatest (tf, positions)
+    own = np.lexsort((tf, term, row))
+    again = np.r_[False, (row[own][1:] == row[own][:-1]) & (term[own][1:] == term[own][:-1])]
+    live = np.ones(len(row), bool)
+    best: dict[tuple[int, int], int] = {}
+    for i in own[again | np.r_[again[1:], False]] if len(own) else ():
+        k = (int(row[i]), int(term[i]))
+        j = best.get(k)
+        if j is not None:
+            worse = j if (tf[i], lists[int(i)].as_py()) > (tf[j], lists[int(j)].as_py()) else int(i)
+            live[worse] = False
+        if j is None or live[i]:
+            best[k] = int(i)
+    item = np.repeat(np.arange(len(row)), sizes)
+    kept = live[item]
+    item, at = item[kept], at[kept]
+    order = np.lexsort((at, row[item]))
+    item, at = item[order], at[order]
+    low = block[row[item]].astype(np.int64) * BLOCK
+    home = (at >= low) & (at < low + BLOCK)
+    span = BLOCK + 4 * WINDOW + 1
+    place = row[item] * span + at - low + WINDOW
+    edges = []
+    for d in range(WINDOW + 1):
+        lo, hi = np.searchsorted(place, place + d, "left"), np.searchsorted(place, place + d, "right")
+        a = np.repeat(np.arange(len(place)), hi - lo)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+        for x, y in ((a, b), (b, a)) if d else ((a, b),):
+            differ = home[x] & (term[item[x]] != term[item[y]])
+            edges.append(item[x[differ]] * n_terms + term[item[y[differ]]])
+    degree = np.bincount(np.unique(np.concatenate(edges)) // n_terms, minlength=len(row)) if len(place) else np.zeros(len(row), int)
+    out = np.flatnonzero(live & (first | (np.bincount(item[home], minlength=len(row)) > 0)))
+    return pa.record_batch([docs.take(pa.array(row[out])), coded.dictionary.take(pa.array(term[out])), pa.array(tf[out], pa.int32()), pa.array(degree[out], pa.int32())], names=["doc_id", "term", "tf", "degree"])
+
+
+def _run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            yield _degrees(part.column(0), part.column(1).to_numpy(), part.column(2))
+
+
 def weighted(parts: DataFrame) -> DataFrame:
     """``doc_id, term, tf, degree``: of a term in one block the degree is final; only those in several are put together."""
     several = F.exists("items", lambda x: x["homes"] > 1)
-    whole = parts.filter(~several).mapInArrow(_run, SCHEMA).select("doc_id", "term", "tf", "degree")
+    whole = parts.filter(~several).mapInArrow(_run_whole, "doc_id string, term string, tf int, degree int")
     cut = parts.filter(several).mapInArrow(_run, SCHEMA).groupBy("doc_id", "term").agg(F.max("tf").alias("tf"), F.max("degree").alias("d"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     return whole.unionByName(cut.select("doc_id", "term", "tf", F.greatest("d", F.size("near")).alias("degree")))
 
@@ -134,6 +187,6 @@ def distinctiveness(postings: DataFrame, index: DataFrame, least: float | None =
 
 
 def found(postings: DataFrame, index: DataFrame) -> DataFrame:
-    """Terms of which the frequency score reaches the threshold, among the rows of the weighted graph."""
-    rows = distinctiveness(postings, index, MIN_SCORE)
-    return rows.filter((F.col("degree") >= 0) & (F.col("tf_score") >= MIN_SCORE)).select("doc_id", "term")
+    """Rows of the weighted graph whose frequency score reaches the threshold. The threshold is stated on the frequency alone: the
+    degree takes no part in this decision, it ranks terms by ``graph_score``."""
+    return distinctiveness(postings, index, MIN_SCORE).filter(F.col("tf_score") >= MIN_SCORE).select("doc_id", "term")

@@ -98,8 +98,58 @@ def _key(u: str) -> str:
     return f"coalesce({HOST.format(u=u)}, '') || CASE WHEN {path} LIKE '%/' THEN left({path}, length({path}) - 1) ELSE {path} END || {query}"
 
 
+#: words as runs of letters and digits in lower case
+WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+P10 = f"""
+word AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents WHERE text IS NOT NULL)),
+run AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p AS run FROM word WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM run WHERE run IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, run ORDER BY i) > 1),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(4) t(k) GROUP BY doc_id),
+size AS (SELECT doc_id, count(*) AS n FROM word GROUP BY doc_id)"""
+
+#: all stretches of every diagonal on which a run of four words is shared
+P9 = f"""
+item AS (SELECT item_id, w FROM (SELECT item_id, {WORDS} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) >= 15),
+doc AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM item),
+dw AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM doc),
+iseed AS (SELECT item_id, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p AS s FROM iw WINDOW p AS (PARTITION BY item_id ORDER BY i)),
+dseed AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p AS s FROM dw WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+diagonal AS (SELECT DISTINCT doc_id, item_id, dseed.i - iseed.i AS d FROM dseed JOIN iseed ON iseed.s = dseed.s),
+cell AS (
+  SELECT diagonal.doc_id, diagonal.item_id, d, iw.i AS k, iw.w = dw.w AS same FROM diagonal
+  JOIN iw ON iw.item_id = diagonal.item_id JOIN dw ON dw.doc_id = diagonal.doc_id AND dw.i = iw.i + d),
+cost AS (
+  SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER p AS wrong, sum(CASE WHEN NOT same AND NOT before THEN 1 ELSE 0 END) OVER p AS twice
+  FROM (SELECT *, coalesce(lag(same) OVER (PARTITION BY doc_id, item_id, d ORDER BY k), true) AS before FROM cell) WINDOW p AS (PARTITION BY doc_id, item_id, d ORDER BY k))"""
+
+P4_CLEANED = """
+whole AS (SELECT doc_id, pos, max(text) AS text FROM passages WHERE doc_id IS NOT NULL AND pos IS NOT NULL GROUP BY doc_id, pos),
+gone AS (SELECT DISTINCT norm.doc_id, pos, line_no FROM norm JOIN often ON often.site = norm.site AND often.n = norm.n),
+piece AS (SELECT doc_id, pos, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT doc_id, pos, string_split(text, chr(10)) AS l FROM whole WHERE text IS NOT NULL)),
+left_ AS (
+  SELECT piece.doc_id, piece.pos, coalesce(string_agg(line, chr(10) ORDER BY piece.line_no) FILTER (gone.line_no IS NULL), '') AS text, count(gone.line_no)::INTEGER AS removed
+  FROM piece LEFT JOIN gone ON gone.doc_id = piece.doc_id AND gone.pos = piece.pos AND gone.line_no = piece.line_no GROUP BY piece.doc_id, piece.pos)"""
+
+P5_DEGREE = """
+put AS (SELECT DISTINCT doc_id, term, unnest(positions).i AS i FROM postings WHERE term IS NOT NULL AND doc_id IS NOT NULL),
+edge AS (SELECT DISTINCT a.doc_id, a.term, b.term AS other FROM put a JOIN put b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i - 2 AND a.i + 2 AND b.term <> a.term),
+near AS (SELECT doc_id, term, count(*)::INTEGER AS degree FROM edge GROUP BY doc_id, term)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p10_found": f"WITH {P10} SELECT hit.doc_id FROM hit JOIN size ON size.doc_id = hit.doc_id WHERE size.n >= 20 AND hit.n >= 0.4 * size.n",
+        "p9_found": f"""WITH {P9} SELECT DISTINCT a.doc_id, a.item_id FROM cost a JOIN cost b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.d = a.d AND b.k >= a.k + 14
+            WHERE a.same AND b.same AND 6 * (b.wrong - a.wrong) <= b.k - a.k + 1 AND b.twice = a.twice""",
+        "p4_cleaned": f"""WITH {P4_LINES}, {P4_CLEANED.strip()}
+            SELECT whole.doc_id, whole.pos, CASE WHEN coalesce(removed, 0) > 0 THEN left_.text ELSE whole.text END AS text, coalesce(removed, 0) AS removed
+            FROM whole LEFT JOIN left_ ON left_.doc_id = whole.doc_id AND left_.pos = whole.pos""",
+        "p5_scores": f"""WITH {P5_ROWS}, {P5_DEGREE.strip()},
+            score AS (SELECT once.doc_id, once.term, once.tf, coalesce(degree, 0)::INTEGER AS degree, CASE WHEN c > 0 THEN c END AS c, ln(n / (df + 1)) / CASE WHEN n >= 2 THEN ln(n) END AS rarity
+              FROM once JOIN size ON size.doc_id = once.doc_id JOIN freq ON freq.term = once.term LEFT JOIN near ON near.doc_id = once.doc_id AND near.term = once.term, (SELECT count(*) AS n FROM page))
+            SELECT doc_id, term, degree, round(tf / c * rarity, 6) AS tf_score, round(degree / c * rarity, 6) AS graph_score FROM score""",
         "p4_found": f"WITH {P4_LINES} SELECT doc_id, pos, line_no::INTEGER AS line_no FROM norm JOIN often ON often.site = norm.site AND often.n = norm.n",
         "p4_frequent": f"WITH {P4_LINES} SELECT site, count(*) AS lines, max(pages) AS most_pages FROM often GROUP BY site",
         "p5_found": f"""WITH {P5_ROWS}

@@ -133,7 +133,8 @@ def test_leaks_equal_brute_force(spark):
     df = docs(spark, texts)
     assert {tuple(r) for r in leakage.found(df, bench).collect()} == want
     by = leakage.by_shuffle(df.select("doc_id", "text").filter("length(text) > 0"), bench.select("item_id", "text").filter("length(text) > 0").distinct())
-    assert {(r["doc_id"], r["item_id"]) for r in by.collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in by.filter(f"n_words >= {leakage.MIN_WORDS}").collect()} == want
+    assert {tuple(r) for r in by.collect()} == {tuple(r) for r in leakage.leaks(df, bench).collect()}
     assert leakage.found(df, bench.limit(0)).count() == 0
     assert leakage.found(df.limit(0), bench).count() == 0
 
@@ -224,3 +225,36 @@ def test_field_learns_and_decodes():
     assert np.mean([np.mean(field.viterbi(x) == y) for x, y in zip(xs, ys)]) > 0.97
     p, _, z = field.marginals(xs[0])
     assert np.allclose(p.sum(1), 1) and np.isfinite(z)
+
+
+def test_edited_copies_are_leaks_by_their_alignment(spark):
+    q = ITEM.split()
+    inserted, left_out = [*q[:10], "very", *q[10:]], [*q[:8], *q[9:]]
+    texts = [" ".join(inserted), " ".join(left_out), ITEM, "no leak at all in this text about other things and places of the day"]
+    df = docs(spark, [f"Before it all. {t} And after." for t in texts])
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    want = {(0, len(q) - 2), (1, len(q) - 1 - 2), (2, len(q))}
+    for got in (leakage.leaks(df, bench), leakage.by_shuffle(df.select("doc_id", "text"), bench)):
+        assert {(r["doc_id"], r["score"]) for r in got.collect()} == want
+    whole = {r["doc_id"]: r["n_words"] for r in leakage.leaks(df, bench).collect()}
+    assert whole[2] == len(q) and max(whole[0], whole[1]) < leakage.MIN_WORDS
+    assert [r["doc_id"] for r in leakage.found(df, bench).collect()] == [2]
+
+
+def test_retention_follows_the_labels(spark):
+    again = "Buy the best lamp here today and save now. "
+    df = docs(spark, [again * 30, " ".join(f"Line {k} tells of place{k} and of thing{k} beside it." for k in range(30)), None])
+    got = {r["doc_id"]: r for r in repetition.repetition(df).collect()}
+    assert not got[0]["retained"] and got[1]["retained"] and got[2]["retained"]
+    assert [r["doc_id"] for r in repetition.found(df).collect()] == [0]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_viterbi_is_the_best_path(seed):
+    rng = np.random.default_rng(seed)
+    f = repetition.ChainField(rng.normal(size=(repetition.FEATURES, 2)), rng.normal(size=(2, 2)))
+    x = rng.normal(size=(6, repetition.FEATURES))
+    e = x @ f.emit
+    value = lambda y: sum(e[t, k] for t, k in enumerate(y)) + sum(f.move[a, b] for a, b in zip(y, y[1:]))
+    best = max(([(n >> t) & 1 for t in range(6)] for n in range(64)), key=value)
+    assert f.viterbi(x).tolist() == best
