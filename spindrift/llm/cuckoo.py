@@ -3,11 +3,14 @@
 Fingerprints of the keys stand in cuckoo tables, one set of tables per partition of the key space: a key has two candidate
 buckets of four slots, the second found from the first and the fingerprint alone, so that entries can be moved and deleted.
 A table that saturates is followed by one of twice its size. A filter answers "new" rightly always, and "seen" wrongly at a
-rate that the audit reports; the exact check that follows settles the positives by sorting, not by keeping keys in memory.
+rate that the audit reports, with the tables' load; the exact check that follows settles the positives by sorting, not by keeping
+keys in memory. Filters can also be kept as a table between runs, where keys are added, deleted and asked for (:func:`changed`,
+:func:`maybe_seen`).
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,8 @@ from spindrift.sources.tables import shuffle_partitions
 
 SLOTS = 4
 NEW, MAYBE, SEEN = 0, 1, 2
+#: state of a row that tells of a partition's tables: entries, slots and bytes as ``h1``, ``h2`` and ``k``
+TABLES = 3
 #: rows of a block that is deduplicated before the shuffle; bounds the memory of a task
 BLOCK = 1 << 18
 
@@ -104,13 +109,14 @@ class CuckooTable:
 
 
 class CuckooFilter:
-    """Cuckoo tables that grow: a saturated table stays and one of twice its size takes what follows."""
+    """Cuckoo tables that grow: a saturated table stays and one of twice its size takes what follows. The few entries that found no
+    slot before a table was closed are kept beside it, each as often as it was added."""
 
     LOAD = 0.92
 
     def __init__(self, capacity: int = 1 << 12):
         self.tables = [CuckooTable(self._buckets(capacity))]
-        self.overflow: set[tuple[int, int, int]] = set()  # at most a few entries for each table
+        self.overflow = np.zeros((0, 3), np.int64)  # (table, bucket, fingerprint)
 
     @staticmethod
     def _buckets(capacity: int) -> int:
@@ -118,19 +124,27 @@ class CuckooFilter:
 
     @property
     def bytes(self) -> int:
-        return sum(t.slots.nbytes for t in self.tables)
+        return sum(t.slots.nbytes for t in self.tables) + self.overflow.nbytes
+
+    @property
+    def slots(self) -> int:
+        return sum(t.slots.size for t in self.tables)
 
     def __len__(self) -> int:
         return sum(t.used for t in self.tables) + len(self.overflow)
 
+    def _outside(self, h: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which hashes an entry of the overflow may stand for."""
+        t = self.tables[entry[0]]
+        f, a = t.fingerprint(h), t.first(h)
+        return (f == entry[2]) & ((a == entry[1]) | (t.other(a, f) == entry[1]))
+
     def contains(self, h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h), bool)
         for t in self.tables:
             out |= t.contains(h)
-        for number, bucket, fp in self.overflow:
-            t = self.tables[number]
-            f, a = t.fingerprint(h), t.first(h)
-            out |= (f == fp) & ((a == bucket) | (t.other(a, f) == bucket))
+        for entry in self.overflow:
+            out |= self._outside(h, entry)
         return out
 
     def insert(self, h: np.ndarray) -> None:
@@ -140,24 +154,43 @@ class CuckooFilter:
             room = max(0, int(t.slots.size * self.LOAD) - t.used)
             part, h = h[:room], h[room:]
             bucket, fp = t.insert(part)
-            self.overflow |= {(len(self.tables) - 1, int(b), int(f)) for b, f in zip(bucket, fp, strict=True)}
+            self.overflow = np.concatenate([self.overflow, np.column_stack([np.full(len(fp), len(self.tables) - 1), bucket, fp.astype(np.int64)])])
             if len(h):
                 self.tables.append(CuckooTable(2 * len(t.slots)))
 
     def delete(self, h: np.ndarray) -> np.ndarray:
+        """Removes one copy of each hash; true where one was found. Only keys that were added may be deleted."""
         found = np.zeros(len(h), bool)
         for t in self.tables:
             rest = np.flatnonzero(~found)
             found[rest] = t.delete(h[rest])
-        for i in np.flatnonzero(~found) if self.overflow else ():
-            for entry in list(self.overflow):
-                t = self.tables[entry[0]]
-                f, a = t.fingerprint(h[i : i + 1]), t.first(h[i : i + 1])
-                if not found[i] and int(f[0]) == entry[2] and entry[1] in (int(a[0]), int(t.other(a, f)[0])):
-                    self.overflow.discard(entry)
-                    found[i] = True
+        gone = []
+        for k, entry in enumerate(self.overflow):
+            rest = np.flatnonzero(~found)
+            hit = rest[self._outside(h[rest], entry)]
+            if len(hit):
+                found[hit[0]] = True
+                gone.append(k)
+        self.overflow = np.delete(self.overflow, gone, axis=0)
         return found
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, overflow=self.overflow, **{f"t{k}": t.slots for k, t in enumerate(self.tables)})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> CuckooFilter:
+        held = np.load(io.BytesIO(data))
+        out = cls.__new__(cls)
+        out.overflow, out.tables = held["overflow"], []
+        for k in range(len(held.files) - 1):
+            t = CuckooTable(len(held[f"t{k}"]))
+            t.slots = held[f"t{k}"].copy()
+            t.used = int(np.count_nonzero(t.slots))
+            out.tables.append(t)
+        return out
+
 
 SCHEMA = pa.schema([("k", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("seq", pa.int64()), ("state", pa.int8())])
 DDL = "k long, h1 long, h2 long, seq long, state byte"
@@ -213,6 +246,8 @@ def _filter_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state[todo] = answer
         seen.insert(distinct[~old])
         yield _batch(k, h1, h2, seq, state)
+    one = lambda x: np.array([x], np.int64)
+    yield _batch(one(seen.bytes), one(len(seen)), one(seen.slots), one(-1), one(TABLES))
 
 
 def _exact_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +257,10 @@ def _exact_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, h1, h2, seq, state = _columns(b, "k", "h1", "h2", "seq", "state")
         if not len(k):
             continue
-        live = state != SEEN
+        live = state < SEEN
         same = np.r_[(last[2] and live[0] and h1[0] == last[0] and h2[0] == last[1]), (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]) & live[1:] & live[:-1]].astype(bool)
         last = (h1[-1], h2[-1], bool(live[-1]))
-        verdict = np.where(~live, SEEN, np.where((state == MAYBE) & same, SEEN, np.where(state == MAYBE, MAYBE, NEW)))
+        verdict = np.where(~live, state, np.where((state == MAYBE) & same, SEEN, np.where(state == MAYBE, MAYBE, NEW)))
         yield _batch(k, h1, h2, seq, verdict)
 
 
@@ -235,6 +270,15 @@ def _keys(df: DataFrame, key: str, seq) -> DataFrame:
     return df.select(F.xxhash64(F.col(key)).alias("h1"), F.xxhash64(F.lit("second"), F.col(key), F.length(key)).alias("h2"), seq.cast("long").alias("seq"), F.col(key).isNotNull().alias("ok"))
 
 
+def _answers(arrivals: DataFrame, key: str, order: str, known: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`seen_keys` as ``DDL`` has them, those of ``known`` (``seq`` -1) and one of each partition's tables."""
+    rows = _keys(arrivals, key, F.col(order))
+    if known is not None:
+        rows = rows.unionByName(_keys(known, key, F.lit(-1)))
+    n = shuffle_partitions(arrivals.sparkSession)
+    return rows.mapInArrow(_local_first, DDL).repartition(n, "k").sortWithinPartitions("seq").mapInArrow(_filter_pass, DDL).sortWithinPartitions("h1", "h2", "seq").mapInArrow(_exact_pass, DDL)
+
+
 def seen_keys(arrivals: DataFrame, key: str, order: str, known: DataFrame | None = None) -> DataFrame:
     """The answer for each arrival: ``order`` as ``seq``, and ``state``: 0 new, 1 answered "seen" wrongly by the filter and
     put right by the check (the key is new), 2 seen before. ``known`` (column ``key``) holds keys known before all arrivals.
@@ -243,27 +287,63 @@ def seen_keys(arrivals: DataFrame, key: str, order: str, known: DataFrame | None
     within a partition and spill. Arrivals must have distinct, non-negative ``order``. Null keys are no keys and get no row;
     equal keys of equal order keep one as the first; an empty table gives no rows; other columns are ignored.
     """
-    rows = _keys(arrivals, key, F.col(order))
-    if known is not None:
-        rows = rows.unionByName(_keys(known, key, F.lit(-1)))
-    n = shuffle_partitions(arrivals.sparkSession)
-    return (
-        rows.mapInArrow(_local_first, DDL)
-        .repartition(n, "k")
-        .sortWithinPartitions("seq")
-        .mapInArrow(_filter_pass, DDL)
-        .sortWithinPartitions("h1", "h2", "seq")
-        .mapInArrow(_exact_pass, DDL)
-        .filter(F.col("seq") >= 0)
-        .select("seq", "state")
-    )
+    return _answers(arrivals, key, order, known).filter(F.col("seq") >= 0).select("seq", "state")
 
 
-def seen_links(links: DataFrame, seeds: DataFrame, index: DataFrame) -> DataFrame:
-    """:func:`seen_keys` for the links of a crawl, in order of ``link_id``, by normalised URL."""
+def _parted(keys: DataFrame, key: str, parts: int, *more) -> DataFrame:
+    """``part, h`` of the keys that are not null, by the two hashes that identify a key."""
+    h1, h2 = F.xxhash64(F.col(key)), F.xxhash64(F.lit("second"), F.col(key), F.length(key))
+    return keys.filter(F.col(key).isNotNull()).select(F.pmod(h1, F.lit(parts)).cast("int").alias("part"), F.xxhash64(h1, h2).alias("h"), *more)
+
+
+def changed(state: DataFrame | None, key: str, added: DataFrame | None = None, removed: DataFrame | None = None, parts: int = 64) -> DataFrame:
+    """``part, tables``: the kept filters after a deletion and an addition of keys (each distinct key of ``added`` once; of
+    ``removed`` only keys that were added before, each once). ``state`` None begins with empty filters; ``parts`` must stay the same.
+    A group holds one filter and the changes of its part, as many hashes as the keys over ``parts``."""
+    spark = (added if added is not None else removed).sparkSession
+    none = spark.createDataFrame([], "part int, h long, added boolean")
+    ops = [none] + [_parted(df, key, parts).distinct().withColumn("added", F.lit(new)) for df, new in ((added, True), (removed, False)) if df is not None]
+    every = ops[0]
+    for x in ops[1:]:
+        every = every.unionByName(x)
+    kept = state if state is not None else spark.createDataFrame([], "part int, tables binary")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = (left if left.num_rows else right).column("part")[0].as_py()
+        seen = CuckooFilter.load(left.column("tables")[0].as_py()) if left.num_rows else CuckooFilter()
+        h = right.column("h").to_numpy().view(np.uint64)
+        new = right.column("added").to_numpy(zero_copy_only=False).astype(bool)
+        seen.delete(h[~new])
+        fresh = h[new]
+        seen.insert(fresh[~seen.contains(fresh)])
+        return pa.table({"part": pa.array([part], pa.int32()), "tables": pa.array([seen.dump()], pa.binary())})
+
+    return kept.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(run, "part int, tables binary")
+
+
+def maybe_seen(state: DataFrame, arrivals: DataFrame, key: str, order: str, parts: int = 64) -> DataFrame:
+    """``seq, maybe``: whether the kept filters may hold the key of each arrival; False is certain. Null keys get no row. Arrivals
+    are asked in groups of a part and ``parts``, so that a hot key is spread; each group reads its part's filter."""
+    asked = _parted(arrivals, key, parts, F.col(order).cast("long").alias("seq")).withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(8)).cast("int"))
+    copies = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        h = left.column("h").to_numpy().view(np.uint64)
+        maybe = CuckooFilter.load(right.column("tables")[0].as_py()).contains(h) if right.num_rows and len(h) else np.zeros(len(h), bool)
+        return pa.table({"seq": left.column("seq"), "maybe": pa.array(maybe)})
+
+    return asked.groupBy("part", "salt").cogroup(copies.groupBy("part", "salt")).applyInArrow(run, "seq long, maybe boolean")
+
+
+def _link_keys(links: DataFrame, seeds: DataFrame, index: DataFrame) -> tuple[DataFrame, str, str, DataFrame]:
     key = lambda df, c: with_normal_url(df, c, "key")
     known = key(seeds.select("url"), "url").select("key").unionByName(key(index.select("url"), "url").select("key"))
-    return seen_keys(key(links.select("link_id", "link"), "link"), "key", "link_id", known)
+    return key(links.select("link_id", "link"), "link"), "key", "link_id", known
+
+
+def seen_links(links: DataFrame, seeds: DataFrame, index: DataFrame) -> DataFrame:
+    """:func:`seen_keys` for the links of a crawl, in order of ``link_id``, by normalised URL."""
+    return seen_keys(*_link_keys(links, seeds, index))
 
 
 def found(links: DataFrame, seeds: DataFrame, index: DataFrame) -> DataFrame:
@@ -271,10 +351,16 @@ def found(links: DataFrame, seeds: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def audit(links: DataFrame, seeds: DataFrame, index: DataFrame) -> DataFrame:
-    """Rate of wrong answers of the filters: positives among new keys."""
-    s = F.col("state")
+    """Rate of wrong answers of the filters: positives among new keys; and of the tables of all partitions the entries, the bytes and
+    the load, the share of slots in use."""
+    s, arrival = F.col("state"), F.col("seq") >= 0
+    tables = lambda c: F.coalesce(F.sum(F.when(s == TABLES, F.col(c))), F.lit(0))
     return (
-        seen_links(links, seeds, index)
-        .agg(F.count("*").alias("answers"), F.count_if(s == SEEN).alias("seen"), F.count_if(s == NEW).alias("new"), F.count_if(s == MAYBE).alias("false_positives"))
+        _answers(*_link_keys(links, seeds, index))
+        .agg(
+            F.count_if(arrival).alias("answers"), F.count_if(arrival & (s == SEEN)).alias("seen"), F.count_if(arrival & (s == NEW)).alias("new"), F.count_if(arrival & (s == MAYBE)).alias("false_positives"),
+            tables("h1").alias("entries"), tables("h2").alias("slots"), tables("k").alias("bytes"),
+        )
         .withColumn("false_positive_rate", F.col("false_positives") / F.greatest(F.col("new") + F.col("false_positives"), F.lit(1)))
+        .withColumn("load", F.col("entries") / F.greatest("slots", F.lit(1)))
     )

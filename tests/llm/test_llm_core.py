@@ -45,6 +45,29 @@ def test_cuckoo_deletes():
     assert f.delete(h[:1]).all() and f.contains(h[:1]).all()
 
 
+def test_overflow_keeps_equal_entries():
+    f = cuckoo.CuckooFilter(16)
+    f.insert(np.full(12, 77, np.uint64))  # more equal entries than the eight slots of two buckets
+    assert len(f) == 12 and len(f.overflow) >= 4
+    g = cuckoo.CuckooFilter.load(f.dump())
+    for left in range(11, -1, -1):
+        assert g.delete(np.array([77], np.uint64)).all() and len(g) == left
+    assert not g.contains(np.array([77], np.uint64)).any() and len(f) == 12
+
+
+def test_kept_filters(spark):
+    keys = lambda a, b: spark.createDataFrame([(f"k{i}", i, "x") for i in range(a, b)], "key string, at long, part string")
+    state = cuckoo.changed(None, "key", keys(0, 3000), parts=4)
+    state = spark.createDataFrame(cuckoo.changed(state, "key", keys(2000, 4000), keys(0, 1000), parts=4).collect(), state.schema)
+    assert sorted(r["part"] for r in state.collect()) == [0, 1, 2, 3]
+    got = {r["seq"]: r["maybe"] for r in cuckoo.maybe_seen(state, keys(0, 6000), "key", "at", parts=4).collect()}
+    assert len(got) == 6000 and all(got[i] for i in range(1000, 4000))
+    assert sum(got[i] for i in [*range(1000), *range(4000, 6000)]) < 20
+    null = spark.createDataFrame([(None, 1)], "key string, at long")
+    assert cuckoo.maybe_seen(state, null, "key", "at", parts=4).count() == 0
+    assert not any(r["maybe"] for r in cuckoo.maybe_seen(state.limit(0), keys(0, 5), "key", "at", parts=4).collect())
+
+
 def test_seen_keys_equals_a_set(spark):
     rng = random.Random(5)
     rows = [(i, "hot" if rng.random() < 0.35 else rng.choice([None, *(f"k{j}" for j in range(400))]), "x") for i in range(6000)]
@@ -71,6 +94,7 @@ def test_found_links(spark):
     assert sorted(r["link_id"] for r in cuckoo.found(links, seeds, seeds.limit(0)).collect()) == [2, 4, 6]
     r = cuckoo.audit(links, seeds, seeds.limit(0)).first()
     assert (r["answers"], r["seen"], r["new"] + r["false_positives"]) == (5, 3, 2)
+    assert r["entries"] == 3 - r["false_positives"] and r["bytes"] > 0 and 0 < r["load"] < 1
 
 
 # problem 4
