@@ -248,7 +248,7 @@ def q_robots_rules(spark, d):
 
 def q_robots_allowed(spark, d):
     links = table(spark, d, "links").filter("link is not null").select("link_id", "host", F.regexp_extract("link", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
-    rules = fixtures.robots_for_all(spark, links)
+    rules = C.robots_rules(fixtures.robots_for_all(spark, links))
     return C.allowed_links(links, rules, "bot").groupBy("host").agg(F.count("*").alias("links"))
 
 

@@ -154,6 +154,27 @@ s AS (SELECT doc_id, token_count, coalesce(CASE WHEN z >= 0 THEN 1 / (1 + exp(-z
 SELECT doc_id, round(s, 6) AS score, s < {Q.THRESHOLD} AND token_count < {Q.MIN_TOKENS} AS skipped FROM s"""
 
 
+# What the literal inputs of fixtures.py give, worked out by hand from the rules of the operators.
+HTML_PASSAGES = """
+  ('https://a.example/x/one.html', 0, 'Tide tables', 'b'), ('https://a.example/x/one.html', 1, 'leak', 'b'), ('https://a.example/x/one.html', 2, 'Harbour', 'h'),
+  ('https://a.example/x/one.html', 3, 'notes', 'h'), ('https://a.example/x/one.html', 4, 'Read', 'b'), ('https://a.example/x/one.html', 5, 'the next', 'b'),
+  ('https://a.example/x/one.html', 6, 'page & more.', 'b'), ('https://a.example/x/one.html', 7, 'pdf', 'b'), ('https://a.example/x/one.html', 8, 'self', 'b'),
+  ('https://c.example/', 0, 'No label', 'h'), ('https://c.example/', 1, 'Plain text.', 'b'), ('https://c.example/', 2, 'over', 'b'), ('https://c.example/', 3, 'js', 'b'),
+  ('https://c.example/', 4, 'here', 'b'), ('https://c.example/', 5, 'http', 'b'),
+  ('https://d.example/q', 0, 'one', 'b'), ('https://d.example/q', 1, 'two', 'b'), ('https://d.example/q', 2, 'a', 'b'), ('https://d.example/q', 3, 'b', 'b'), ('https://d.example/q', 4, 'c', 'b'),
+  ('https://d.example/q', 5, 'd', 'b'), ('https://d.example/q', 6, 'e', 'b')"""
+HTML_LINKS = """
+  ('https://a.example/x/one.html', 'https://a.example/x/two.html', true), ('https://a.example/x/one.html', 'https://a.example/x/one.html?format=html', true),
+  ('https://c.example/', 'https://a.example/x/', false), ('https://d.example/q', 'https://d.example/p?file=a.pdf', true), ('https://d.example/q', 'https://d.example/q?format=pdf&format=html', true)"""
+#: url, depth and number of start tags, usable links (those in menus too), lengths of address, path and host
+HTML_FEATURES = """
+  ('https://a.example/x/one.html', 5, 16, 3, 28, 11, 9), ('https://a.example/de', 1, 1, 0, 20, 3, 9), ('https://c.example/', 3, 8, 1, 18, 1, 9), ('https://c.example/empty', 0, 0, 0, 23, 6, 9),
+  ('https://d.example/q', 3, 8, 2, 19, 2, 9)"""
+ROBOTS_RULES = """
+  ('a.example', '*', ['/tmp/open'], ['/private', '/tmp'], 5), ('a.example', 'bot', []::VARCHAR[], ['/search'], 0), ('b.example', 'bot', ['/'], []::VARCHAR[], 0)"""
+SITEMAP_LINKS = "('https://a.example/', 'https://a.example/x?a=1&b=2'), ('https://a.example/', 'https://a.example/y'), ('https://c.example/p', 'https://c.example/s.xml')"
+
+
 def oracle_sql() -> dict[str, str]:
     link = norm("link")
     blocked = [x[2:-1] for x in fixtures.BLOCKLIST if x.startswith("||") and x.endswith("^")]
@@ -202,5 +223,20 @@ def oracle_sql() -> dict[str, str]:
             both_ AS (SELECT cut.word, c, a.candidate AS first, z.candidate AS second, ln(greatest(2 * a.l + 3 * z.r, 1e-5)) AS score
               FROM cut JOIN scored a ON a.word = cut.word AND a.candidate = left(cut.word, c) JOIN scored z ON z.word = cut.word AND z.candidate = substr(cut.word, c + 1))
             SELECT word, first, second, round(score, 6) AS score FROM both_ QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, c) = 1""",
+        "html_passages": f"SELECT * FROM (VALUES {HTML_PASSAGES}) t(url, pos, text, ptype)",
+        "html_links": f"SELECT * FROM (VALUES {HTML_LINKS}) t(url, link, same_domain)",
+        "html_features": f"SELECT * FROM (VALUES {HTML_FEATURES}) t(url, dom_depth, tag_count, url_count, url_len, path_len, host_len)",
+        "robots_rules": f"SELECT * FROM (VALUES {ROBOTS_RULES}) t(host, agent, allow, disallow, delay)",
+        "sitemap_links": f"SELECT * FROM (VALUES {SITEMAP_LINKS}) t(page_url, link)",
+        "near_dup_keep": f"""WITH RECURSIVE {pairs()},
+            close AS (SELECT earlier, later FROM scored WHERE similarity > 0.8),
+            node AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT earlier AS id FROM close UNION SELECT later FROM close)),
+            step AS (
+              SELECT 0::BIGINT AS k, []::BIGINT[] AS kept
+              UNION ALL SELECT node.k, CASE WHEN len(list_intersect(kept, coalesce((SELECT list(earlier) FROM close WHERE later = node.id), []))) > 0 THEN kept ELSE list_append(kept, node.id) END
+              FROM step JOIN node ON node.k = step.k + 1),
+            accepted AS (SELECT unnest(kept) AS id FROM step WHERE k = (SELECT max(k) FROM step)),
+            rep AS (SELECT sigs.doc_id, reps.doc_id AS rep FROM sigs JOIN reps ON reps.sig = sigs.sig)
+            SELECT doc_id, doc_id = rep AND (rep NOT IN (SELECT id FROM node) OR rep IN (SELECT id FROM accepted)) AS kept, rep FROM rep""",
         "robots_allowed": "SELECT host, count(*) AS links FROM links WHERE link IS NOT NULL AND NOT regexp_matches(link, '^[A-Za-z]+://[^/?#]*/(help|view)') GROUP BY host",
     }

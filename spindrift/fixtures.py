@@ -10,6 +10,7 @@ HTML = [
     ("https://a.example/de", '<html lang="de"><body><p>Guten Tag</p></body></html>'),
     ("https://c.example/", "<html><body><h2>No label</h2><p>Plain text.</p><a href='//a.example/x/'>over</a><a href='javascript:go()'>js</a><a href='#here'>here</a><a href='http://c.example/plain'>http</a></body></html>"),
     ("https://c.example/empty", ""),
+    ("https://d.example/q", '<html lang="EN-US"><body><p>one<!-- c -->two</p><a href="/a.pdf?x=1">a</a><a href="/q?format=xhtml">b</a><a href="/q?format=">c</a><a href="/p?file=a.pdf">d</a><a href="/q?format=pdf&amp;format=html">e</a></body></html>'),
 ]
 ROBOTS = [
     ("a.example", "# rules\nUser-agent: *\nDisallow: /private\nDisallow: /tmp\nAllow: /tmp/open\nCrawl-delay: 5\n\nUser-agent: bot\nDisallow: /search\nCrawl-delay: soon"),
@@ -33,8 +34,9 @@ def robots(spark: SparkSession) -> DataFrame:
 
 
 def robots_for_all(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """Rules of every host of the links: the agent may not read help and view pages."""
-    return links.select("host").distinct().select("host", F.lit("bot").alias("agent"), F.array(F.lit("/help"), F.lit("/view")).alias("disallow"))
+    """A robots.txt for every host of the links, as ``host, content``: agents in general may not read help pages, the agent ``bot``
+    neither help nor view pages."""
+    return links.select("host").distinct().select("host", F.lit("User-agent: *\nDisallow: /help\n\nUser-agent: Bot\nDisallow: /help\nDisallow: /view").alias("content"))
 
 
 def sitemaps(spark: SparkSession) -> DataFrame:

@@ -71,6 +71,12 @@ def passage_words(passages: DataFrame) -> DataFrame:
     return passage_tokens(passages).select("doc_id", "pos", X.words(F.col("tokens")).alias("words"))
 
 
+def page_words(passages: DataFrame) -> DataFrame:
+    """``doc_id, words``: the words of each page in order of its passages."""
+    parts = F.sort_array(F.collect_list(F.struct("pos", "words")))
+    return passage_words(passages).groupBy("doc_id").agg(F.flatten(F.transform(parts, lambda s: s["words"])).alias("words"))
+
+
 def bigrams(passages: DataFrame) -> DataFrame:
     """OP-38: ``w1, w2, freq`` of adjacent words, also across passages.
 

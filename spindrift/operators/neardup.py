@@ -86,6 +86,22 @@ def pairs(signatures: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     return scored.filter(F.col("similarity") > least)
 
 
+def similar_to(new: DataFrame, known: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+    """``doc_id, similarity`` of the new signatures that are like a known one, or like a new one of a smaller ``doc_id``: only pairs
+    with a new side are made, by their bands; copies by their hash, where one of a class stands for all."""
+    every = known.select("doc_id", "sig", F.lit(0).alias("age")).unionByName(new.select("doc_id", "sig", F.lit(1).alias("age")))
+    own = lambda df: df.select("doc_id", "sig", F.xxhash64("sig").alias("h"), F.xxhash64(F.lit("second"), F.col("sig")).alias("m"))
+    firsts = own(every).join(every.select("doc_id", "age"), "doc_id").groupBy("h", "m").agg(F.min(F.struct("age", "doc_id", "sig")).alias("f"))
+    copies = own(new).join(firsts, ["h", "m"]).filter((F.col("f.age") == 0) | (F.col("f.doc_id") < F.col("doc_id"))).select("doc_id", F.lit(1.0).alias("similarity"))
+    first = firsts.select("f.*")
+    sides = bands(first).join(first.select("doc_id", "age"), "doc_id")
+    met = sides.filter("age = 1").join(sides.select("band", "key", F.col("doc_id").alias("other"), F.col("age").alias("other_age")), ["band", "key"])
+    met = met.filter((F.col("other_age") == 0) | (F.col("other") < F.col("doc_id"))).select("doc_id", "other").distinct()
+    scored = met.join(first.select("doc_id", "sig"), "doc_id").join(first.select(F.col("doc_id").alias("other"), F.col("sig").alias("sig_b")), "other")
+    scored = scored.select("doc_id", similarity(F.col("sig"), F.col("sig_b")).alias("similarity")).filter(F.col("similarity") > least)
+    return copies.unionByName(scored).groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
+
+
 def keep_first(signatures: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
     """``doc_id, kept, rep``: in order of ``doc_id`` a document is rejected if an accepted earlier one is too similar.
 

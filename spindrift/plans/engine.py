@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from spindrift.operators import search as S
 from spindrift.operators import spelling
 from spindrift.plans.config import Config
+from spindrift.plans.crawl_round import Crawl, Round
 from spindrift.plans.store import IndexStore
+from spindrift.sources import fetch
+from spindrift.sources.crawl_files import read_blocklist
 
 
 class EngineError(Exception):
@@ -47,7 +50,8 @@ class Engine:
         return 202
 
     def crawl_state(self) -> dict:
-        n = self.store.read("documents_idx").count() if self.store.exists("documents_idx") else 0
+        docs = self.store.documents()
+        n = 0 if docs is None else docs.count()
         up = str(datetime.now(UTC) - self.started) if self.started and self.running else ""
         return {"running": self.running, "started": self.started.isoformat() if self.started else "", "uptime": up, "documents": n}
 
@@ -57,6 +61,20 @@ class Engine:
         self.running = False
         return 200
 
+    def crawl_step(self, crawl: Crawl) -> Round:
+        """Seeds what was added since the last step and runs one round of the crawl."""
+        if not self.running:
+            raise EngineError(409, "not running")
+        if self.frontier:
+            crawl.seed(self.frontier)
+            self.frontier = []
+        return crawl.run()
+
+    def live_crawl(self, rules: DataFrame | None = None) -> Crawl:
+        """A crawl by HTTP as the settings have it; the blocklist is read from ``filter_url``, a path that Spark can read."""
+        c = self.config
+        return Crawl(self.store, fetch.live_pages, c.worker_count, rules, c.only_same_domain, read_blocklist(self.spark, c.filter_url), fetch.live_sitemaps)
+
     def slots(self, query: str) -> tuple[list[str], DataFrame | None]:
         """OP-40, 50, 57: the terms of the query, corrected where the index lacks a word, and their postings.
 
@@ -69,7 +87,7 @@ class Engine:
             rows = self.store.postings_of([term])
             if kind == "WORD" and rows.limit(1).count() == 0:
                 before = len(words)
-                words = spelling.correct(words, at, self.store.read("trigrams"), self.store.bigrams(), self.config.max_typo)
+                words = spelling.correct(words, at, self.store.trigrams(), self.store.bigrams(words[at - 1] if at else None, words[at + 1] if at + 1 < len(words) else None), self.config.max_typo)
                 again = S.query_tokens(self.spark, words[at])[1]
                 if not again:
                     at += 1
@@ -91,13 +109,24 @@ class Engine:
         return [t for t, _ in out], every
 
     def search(self, query: str, cap: str | int | None = None) -> tuple[DataFrame | None, dict]:
-        """OP-48: (result in order of ``rank``, durations in seconds); no result for an empty query."""
+        """OP-48: (result in order of ``rank``, metrics); no result for an empty query.
+
+        The ranking is run here, so that its time counts: ``handle_query``, ``fetch_and_process`` (postings to ranked candidates),
+        ``sort`` (the two phases) and ``total`` in seconds, and ``total_results``, the rows of the result.
+        """
         if not query:
             raise EngineError(400, "query is missing")
         t0 = time.monotonic()
         slots, rows = self.slots(query)
         t1 = time.monotonic()
-        if rows is None:
-            return None, {"handle_query": t1 - t0, "total": time.monotonic() - t0}
-        ranked = S.rank(rows, slots, self.store.read("documents_idx").select("doc_id", "url", "token_count"))
-        return S.top(ranked, S.cap(cap)), {"handle_query": t1 - t0, "total": time.monotonic() - t0}
+        docs = self.store.documents()
+        if rows is None or docs is None:
+            return None, {"handle_query": t1 - t0, "fetch_and_process": 0.0, "sort": 0.0, "total": time.monotonic() - t0, "total_results": 0}
+        ranked = S.rank(rows, slots, docs.select("doc_id", "url", "token_count"), self.store.corpus_stats()).cache()
+        ranked.count()
+        t2 = time.monotonic()
+        result = S.top(ranked, S.cap(cap)).cache()
+        n = result.count()
+        ranked.unpersist()
+        t3 = time.monotonic()
+        return result, {"handle_query": t1 - t0, "fetch_and_process": t2 - t1, "sort": t3 - t2, "total": t3 - t0, "total_results": n}

@@ -34,9 +34,16 @@ def is_allowed(path: Column, disallow: Column) -> Column:
     return ~F.coalesce(F.exists(disallow, lambda p: F.startswith(path, p)), F.lit(False))
 
 
+def rules_for(rules: DataFrame, agent: str) -> DataFrame:
+    """``host, disallow, delay`` that hold for an agent: its own group's if the host names it (in any case), else those for ``*``."""
+    own = F.lower("agent") == agent.lower()
+    best = F.max_by(F.struct("disallow", *(["delay"] if "delay" in rules.columns else [F.lit(0).alias("delay")])), own.cast("int"))
+    return rules.filter(own | (F.col("agent") == "*")).groupBy("host").agg(best.alias("r")).select("host", "r.*")
+
+
 def allowed_links(links: DataFrame, rules: DataFrame, agent: str, path: str = "path") -> DataFrame:
     """OP-08: links left by the rules of their host for the agent; hosts without rules allow all."""
-    own = rules.filter(F.col("agent") == agent).select("host", "disallow")
+    own = rules_for(rules, agent).select("host", "disallow")
     return links.join(own, "host", "left").filter(is_allowed(F.col(path), F.col("disallow"))).drop("disallow")
 
 

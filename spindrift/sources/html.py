@@ -48,7 +48,7 @@ class PageParser(HTMLParser):
             self.links.append((own["href"], self.garbage > 0))
         if self.garbage:
             return
-        if tag == "html" and own.get("lang") is not None and "en" not in own["lang"]:
+        if tag == "html" and own.get("lang") is not None and "en" not in own["lang"].lower():
             self.refused = True  # a page of another language gives nothing
         elif tag in ("h1", "h2"):
             self.header = (self.header + ord(tag[1])) % 256
@@ -69,6 +69,18 @@ class PageParser(HTMLParser):
         if self.garbage and (tag in GARBAGE or tag == "div"):
             self.garbage -= 1  # any closing div ends a level, as the rules have it
 
+    def handle_comment(self, data: str) -> None:
+        self.flush()  # a comment or declaration parts two text nodes
+
+    def handle_decl(self, decl: str) -> None:
+        self.flush()
+
+    def unknown_decl(self, data: str) -> None:
+        self.flush()
+
+    def handle_pi(self, data: str) -> None:
+        self.flush()
+
     def handle_data(self, data: str) -> None:
         self.text.append(data)
 
@@ -103,21 +115,23 @@ def page_passages(parsed: DataFrame) -> DataFrame:
 
 
 def page_links(parsed: DataFrame, garbage: bool = False) -> DataFrame:
-    """OP-16d: ``url, link, same_domain`` of usable links: absolute, https, no .pdf or .xml, and no ``format=`` but html."""
+    """OP-16d: ``url, link, same_domain`` of usable links: absolute, https, no path that ends with .pdf or .xml, and of the values
+    of the parameter ``format``, if there is one, one that is html."""
     rows = parsed.select("url", F.explode("links").alias("a"))
     if not garbage:
         rows = rows.filter("not a.in_garbage")
-    link = absolute_url(F.col("a.href"), F.col("url"))
-    rows = rows.select("url", link.alias("link")).filter("link is not null").filter(~F.lower("link").rlike(r"\.(pdf|xml)$"))
-    kind = F.regexp_extract("link", r"[?&]format=([^&]*)", 1)
-    return rows.filter((kind == "") | F.contains(kind, F.lit("html"))).withColumn("same_domain", F.contains(url_host(F.col("url")), url_host(F.col("link"))))
+    rows = rows.select("url", absolute_url(F.col("a.href"), F.col("url")).alias("link")).filter("link is not null")
+    path, query = F.regexp_extract("link", r"^[a-z]+://[^/?#]*([^?#]*)", 1), F.regexp_extract("link", r"\?([^#]*)", 1)
+    kinds = F.regexp_extract_all(query, F.lit("(?:^|&)format=([^&]*)"), F.lit(1))
+    usable = ~F.lower(path).rlike(r"\.(pdf|xml)$") & ((F.size(kinds) == 0) | F.array_contains(kinds, "html"))
+    return rows.filter(usable).withColumn("same_domain", F.contains(url_host(F.col("url")), url_host(F.col("link"))))
 
 
 def page_features(parsed: DataFrame, links: DataFrame) -> DataFrame:
     """OP-16f, 16g: ``url, dom_depth, tag_count, url_count, url_len, path_len, host_len``; lengths in bytes."""
     n = links.groupBy("url").agg(F.count("*").cast("int").alias("n"))
-    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     return parsed.join(n, "url", "left").select("url", "dom_depth", "tag_count", F.coalesce("n", F.lit(0)).alias("url_count"), F.octet_length("url").alias("url_len"), F.octet_length(path).alias("path_len"), F.octet_length(host).alias("host_len"))
 
 

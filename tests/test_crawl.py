@@ -59,6 +59,13 @@ def test_robots(spark):
     assert sorted(r["id"] for r in C.allowed_links(df, C.robots_rules(fixtures.robots(spark)), "bot").collect()) == [2, 3]
 
 
+def test_rules_for_all_agents_hold_where_ours_is_not_named(spark):
+    rules = C.robots_rules(spark.createDataFrame([("a.example", "User-agent: *\nDisallow: /private\nCrawl-delay: 5"), ("b.example", "User-agent: *\nDisallow: /\nUser-agent: spindriftbot\nDisallow: /tmp")], "host string, content string"))
+    df = spark.createDataFrame([(1, "a.example", "/private/x"), (2, "a.example", "/x"), (3, "b.example", "/x"), (4, "b.example", "/tmp/y")], "id int, host string, path string")
+    assert sorted(r["id"] for r in C.allowed_links(df, rules, "SpindriftBot").collect()) == [2, 3]
+    assert {r["host"]: r["delay"] for r in C.rules_for(rules, "SpindriftBot").collect()} == {"a.example": 5, "b.example": 0}
+
+
 def test_sitemap(spark):
     got = sorted(r["link"] for r in C.sitemap_links(fixtures.sitemaps(spark)).collect())
     assert got == ["https://a.example/x?a=1&b=2", "https://a.example/y", "https://c.example/s.xml"]
