@@ -168,7 +168,7 @@ HTML_LINKS = """
   ('https://c.example/', 'https://a.example/x/', false), ('https://d.example/q', 'https://d.example/p?file=a.pdf', true), ('https://d.example/q', 'https://d.example/q?format=pdf&format=html', true)"""
 #: url, depth and number of start tags, usable links (those in menus too), lengths of address, path and host
 HTML_FEATURES = """
-  ('https://a.example/x/one.html', 5, 16, 3, 28, 11, 9), ('https://a.example/de', 1, 1, 0, 20, 3, 9), ('https://c.example/', 3, 8, 1, 18, 1, 9), ('https://c.example/empty', 0, 0, 0, 23, 6, 9),
+  ('https://a.example/x/one.html', 4, 17, 3, 28, 11, 9), ('https://a.example/de', 1, 1, 0, 20, 3, 9), ('https://c.example/', 3, 8, 1, 18, 1, 9), ('https://c.example/empty', 0, 0, 0, 23, 6, 9),
   ('https://d.example/q', 3, 8, 2, 19, 2, 9)"""
 ROBOTS_RULES = """
   ('a.example', '*', ['/tmp/open'], ['/private', '/tmp'], 5), ('a.example', 'bot', []::VARCHAR[], ['/search'], 0), ('b.example', 'bot', ['/'], []::VARCHAR[], 0)"""

@@ -69,7 +69,7 @@ def test_robots_blocklist_sitemap_and_spill(spark, tmp_path):
     c.seed(["https://a.example/"])
     first = c.run()
     assert (first.served, first.indexed, first.frontier, first.spilled) == (1, 1, 2, 2)  # two, ads, three and map; private is refused
-    for _ in range(5):
+    for _ in range(3):
         last = c.run()
     assert last.frontier == 0 and last.served == 0
     urls = [u for u, *_ in asked]
