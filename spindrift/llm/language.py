@@ -40,8 +40,9 @@ MIN_WORDS = 5
 ROUNDS, AGREED = 3, 0.8
 #: a capitalised word is no name if it stands so often in one language, and this share of its places there
 NOUN, OWN = 4, 0.9
-#: a run of words stands under several labels alike if its second most frequent label has this share of the first's lines
-SHARED = 0.3
+#: a run of words is shared by several labels if the second most frequent has so many lines, this share of the first's, and so many
+#: times the share that is usual for the first's runs: more than wrong labels bring
+SHARED_LINES, SHARED, UNUSUAL = 3, 0.1, 2
 #: a decision under this confidence is flagged as ambiguous; it is a case all the same
 AMBIGUOUS = 0.95
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -74,17 +75,33 @@ def tokens(text: str) -> list[str]:
     return [w.lower() for w in words] if text.isupper() else words
 
 
-def unshared(samples: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
-    """The samples without those of which a third of the words or more lie in runs of three words that stand under several
-    labels alike: site lines of one language on pages of all, which tell nothing of a label."""
+def parted(samples: list[tuple[list[str], int]]) -> tuple[list[tuple[list[str], int]], list[tuple[list[str], set[int]]]]:
+    """(the samples that tell of their label; the others, with the languages that they may be of instead of their label).
+
+    The others are those of which a third of the words or more lie in runs of three words that several labels share: site lines
+    of one language on pages of another, of which a site has the same on all of its pages. Their frequency under a label tells
+    nothing, as it is that of the site. They may be of a language under whose label half of those runs stand at least.
+    """
     runs = [list(zip(w, w[1:], w[2:])) for tok, _ in samples for w in [[x.lower() for x in tok]]]
     labels: dict[tuple[str, ...], Counter] = defaultdict(Counter)
     for own, (_, k) in zip(runs, samples, strict=True):
         for run in set(own):
             labels[run][k] += 1
-    shared = {run for run, n in labels.items() if len(n) > 1 and (second := sorted(n.values())[-2]) >= 2 and second >= SHARED * max(n.values())}
-    alike = lambda own, n: 3 * len({i + j for i, run in enumerate(own) if run in shared for j in range(3)}) >= n
-    return [s for s, own in zip(samples, runs, strict=True) if not alike(own, len(s[0]))]
+    tops = {run: n.most_common(2) for run, n in labels.items()}
+    shares: dict[int, list[float]] = defaultdict(list)
+    for (k, most), *second in tops.values():
+        shares[k].append(second[0][1] / most if second else 0.0)
+    least = {k: max(SHARED, UNUSUAL * float(np.median(s))) for k, s in shares.items()}
+    shared = {run for run, ((k, most), *second) in tops.items() if second and second[0][1] >= max(SHARED_LINES, least[k] * most)}
+    alone, others = [], []
+    for own, (tok, k) in zip(runs, samples, strict=True):
+        at = [i for i, run in enumerate(own) if run in shared]
+        if 3 * len({i + j for i in at for j in range(3)}) < len(tok) or not at:
+            alone.append((tok, k))
+        else:
+            stands = Counter(x for i in at for x, n in labels[own[i]].items() if n >= SHARED_LINES)
+            others.append((tok, {x for x, n in stands.items() if 2 * n >= len(at)}))
+    return alone, others
 
 
 class CodeClassifiers:
@@ -130,14 +147,17 @@ class CodeClassifiers:
     @classmethod
     def fit(cls, samples: list[tuple[str, str]]) -> CodeClassifiers:
         """Of (text, language), where languages may be wrong: after each round only the texts go on whose language the fit so far
-        gives with confidence. The wrong ones are a minority in every language, so the first round outvotes them already."""
-        every = unshared([(tok, LANGUAGES.index(x)) for t, x in samples if (tok := tokens(t))])
-        model = cls.counted(every)
+        gives with confidence. The wrong ones are a minority in every language, so the first round outvotes them already. Texts
+        that several labels share are not fitted on until the others have told their language."""
+        kept, shared = parted([(tok, LANGUAGES.index(x)) for t, x in samples if (tok := tokens(t))])
+        every, model = kept, cls.counted(kept)
         for _ in range(ROUNDS if every else 0):
             language, p = model.decided(model.summed([tok for tok, _ in every]))
             kept = [s for s, x, c in zip(every, language, p, strict=True) if x == s[1] and c >= AGREED]
             model = cls.counted(kept)
-        return model
+        language, p = model.decided(model.summed([tok for tok, _ in shared]))
+        told = [(tok, int(x)) for (tok, may), x, c in zip(shared, language, p, strict=True) if x in may and c >= AGREED]
+        return cls.counted(kept + told) if told else model
 
     def word(self, w: str, name: bool) -> np.ndarray:
         """Margins of one word. The word itself tells most, if it was seen; a capitalised one that was not may be a name."""

@@ -170,6 +170,16 @@ def test_wrong_labels_are_outvoted():
     assert m.decode("The written consent of the office.")[0] == "en"
 
 
+def test_site_lines_of_another_language_are_not_fitted_under_their_label():
+    """An English notice on all pages of an Italian site and on few English ones; and an Italian one on pages labelled wrongly."""
+    notice, italian = "Registered office and complaints desk", "Pagina iniziale argomenti archivio contatti"
+    samples = [(t, x) for _ in range(30) for x, t in TEXTS.items()]
+    samples += [(notice, "it")] * 60 + [(notice, "en")] * 9 + [(italian, "it")] * 60 + [(italian, "en")] * 2
+    m = language.CodeClassifiers.fit(samples)
+    assert m.decode(notice)[0] == "en"
+    assert m.decode(italian)[0] == "it"
+
+
 def test_short_passages_have_segments():
     m = language.CodeClassifiers.fit([(t, x) for x, t in TEXTS.items()] * 3)
     got = language.segments("The river was quiet. Der Fluss war ruhig.", m)
